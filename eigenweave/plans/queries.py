@@ -22,6 +22,9 @@ from ..operators.model import PCAModel
 from ..operators.stats import covariances, party_stats
 from ..sources import generate, samples as src
 from ..sources.partition import DataPartitioner, partition_stats
+from ..sources.scratch import scratch
+from ..sources.sinks import read_csv, results_frame, text_report, write
+from ..streaming import events as stream
 from ..streaming.incremental import StreamingPCA
 from . import experiment
 
@@ -335,6 +338,21 @@ def i9_pooled(spark, sf):
     return src.pooled(s, s.where("label = 3")).groupBy(F.col("party").cast("long").alias("party")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT * FROM (VALUES ('iid', 'angle', 0.01::DOUBLE), ('shard', 'angle', 1.04), ('shard', 'accuracy', 0.95)) t(path, metric, value)")
+def b17_csv_sink(spark, sf):
+    """Nested results flattened, written as CSV and read back."""
+    path = scratch(spark, "csv")
+    write(results_frame(spark, {"iid": {"angle": 0.01}, "shard": {"angle": 1.04, "accuracy": 0.95}}), path, "csv")
+    return read_csv(spark, path, "path string, metric string, value double")
+
+
+@query(f"WITH {BASE} SELECT CAST(0 AS INTEGER) AS line_no, 'heterogeneity medium' AS head, count(*) AS lines FROM range(11) GROUP BY 1, 2")
+def b19_report(spark, sf):
+    lines = text_report(spark, adaptive.Adaptive(1).fit(lineitem(spark, sf)).selection_report())
+    n = lines.count()
+    return lines.where("line_no = 0").select("line_no", F.regexp_extract("line", "^(heterogeneity [a-z]+)", 1).alias("head"), F.lit(n).cast("long").alias("lines"))
+
+
 # D: adaptive
 
 DIVERGE = f"""WITH {BASE}, avgc AS ({AVERAGED}), w AS (SELECT s.*, nn, kk, sqrt((mx - gx) ** 2 + (my - gy) ** 2) AS far,
@@ -407,6 +425,44 @@ def e10_history(spark, sf):
     return StreamingPCA(1).fit(lineitem(spark, sf)).remove_client("1").history_frame(spark).select("action", "client_id", F.col("seq").cast("int").alias("seq"))
 
 
+EVENT_TABLE = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.readStream.schema(EVENT_TABLE).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+CLIENT_EVENTS = "SELECT user_id % 4 AS client, value, ln(1 + value) AS y FROM events WHERE value IS NOT NULL"
+
+
+@query(f"WITH e AS ({CLIENT_EVENTS}) SELECT CAST(client AS VARCHAR) AS client_id, count(*) AS n, round(avg(value), 6) + 0.0 AS m0, round(avg(y), 6) + 0.0 AS m1, round(covar_pop(value, y), 6) + 0.0 AS c01 FROM e GROUP BY client")
+def e3_stream_of_events(spark, sf):
+    """The events table as a stream of clients: the earliest tenth of ids adds a client, the others are appended to it."""
+    tenth = F.col("event_id") % 10
+    op = F.when(tenth == 0, "add").otherwise("update")
+    mode = F.when(tenth > 0, "append").otherwise("")
+    x = F.array(F.col("value"), F.log1p(F.col("value")))
+    ev = event_stream(spark, sf).where("value is not null").select(tenth.alias("seq"), op.alias("op"), mode.alias("mode"), (F.col("user_id") % 4).cast("string").alias("client_id"), x.alias("features"))
+    path = scratch(spark, "stream")
+    stream.run_models(ev, 1, path, f"{path}-checkpoint").awaitTermination()
+    last = stream.current(spark.read.parquet(f"{path}/changes"))
+    return last.select(F.col("party").alias("client_id"), "n", r(F.col("mean")[0]).alias("m0"), r(F.col("mean")[1]).alias("m1"), r(F.col("m2")[1] / F.col("n")).alias("c01"))
+
+
+def _last_batch(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(path).agg(F.max("batch")).first()[0]
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(value) AS n, round(avg(value), 6) + 0.0 AS mean, round(var_pop(value), 6) + 0.0 AS variance FROM events GROUP BY 1, 2")
+def e_windowed_moments(spark, sf):
+    """Event-time windows with a watermark, each trigger's changed windows kept by key."""
+    path = scratch(spark, "windows")
+    agg = stream.windowed_moments(event_stream(spark, sf), "value")
+    run = agg.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{path}/batch={_last_batch(spark, path)}").select("start", "event_type", "n", r("mean").alias("mean"), r("variance").alias("variance"))
+
+
 # F: privacy and compression
 
 
