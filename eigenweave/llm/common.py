@@ -1,39 +1,18 @@
-"""Shared folder, written tables and small helpers of the corpus operators."""
+"""Written tables and small helpers of the corpus operators."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..sources.scratch import scratch
 
 #: Words of every contract here: runs without ASCII white space (bytes.split() cuts at the same six bytes).
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in spark.checkpoint.dir. Where that is unset (tests on one machine) a
-    temporary folder becomes the checkpoint folder of the session's context.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="eigenweave-")
-        atexit.register(shutil.rmtree, named[7:], ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/eigenweave/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
