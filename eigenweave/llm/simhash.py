@@ -7,11 +7,17 @@ variants (the segment with one bit deleted, and that bit's place). Segments that
 one bit share a variant, so an equality join on variants finds every linked pair, and the full
 Hamming distance verifies it.
 
-Only connectedness is asked for, so pairs inside a group are not listed. First every member of a
-variant's bucket is compared with the smallest and the largest fingerprint there, which costs a
-row for each; components of these links come next. Then only members outside the component that
-is most common in their bucket are joined with the bucket's members of other components. That
-loses no link between components, and a large group of near copies costs its size, not its square.
+Only connectedness is asked for, so pairs inside a group are not listed. Links are found in rounds,
+each of which contracts what it has connected:
+
+1. In buckets of equal segments every fingerprint is compared with the one there that the most
+   documents have. That connects most of a group of near copies at the cost of its size.
+2. Buckets of one-wildcard variants that hold several components by now: a bucket of two is one
+   pair, compared as it is counted. In larger ones, members outside the component of the bucket's
+   most frequent fingerprint ask whether that component has a member they are linked with.
+3. Members still outside are joined with each other where their components differ.
+
+Every pair that shares a variant is thereby compared, or lies in one component already.
 """
 
 from __future__ import annotations
@@ -69,7 +75,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 4, seed:
 
 def segments(distance: int, bits: int = BITS) -> list[tuple[int, int]]:
     """(lowest bit, width) of the segments of which one differs in at most one bit."""
-    n = distance // 2 + 1
+    n = max(2, distance // 2 + 1)  # keys of two segments or more fit 64 bits
     cuts = [round(i * bits / n) for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
@@ -89,32 +95,54 @@ def _apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def _equal_segments(fp: Column, distance: int) -> Column:
+    return F.array(*(F.shiftleft(F.shiftrightunsigned(fp, low).bitwiseAND((1 << width) - 1).cast("long"), 6).bitwiseOR(F.lit(low).cast("long")) for low, width in segments(distance)))
+
+
+def _edges(links: DataFrame, a: str, b: str) -> DataFrame:
+    return links.select(F.col(a).alias("src"), F.col(b).alias("dst"))
+
+
 def link_components(prints: DataFrame, distance: int = 4) -> DataFrame:
-    """(fp, root) for every distinct non-null fp of prints that is linked with another one."""
+    """(fp, root) for every fp of prints(fp, n), which holds each fp once with its number of documents.
+
+    Joins that meet all variants are merge joins at any size: a broadcast would be chosen for small
+    inputs only, and a bucket's rows would not be split between tasks.
+    """
     if not 0 <= distance <= 40:
         raise ValueError("distance must be from 0 to 40: shorter segments index nothing")
-    fps = written(prints.select("fp").where("fp is not null").distinct(), "fps")
-    keyed = fps.select("fp", F.explode(variants(F.col("fp"), distance)).alias("key"))
-    ends = written(keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi"), "ends")
-    members = written(keyed.join(ends, "key"), "members")
-    stars = members.select("fp", F.explode(F.array("lo", "hi")).alias("pivot")).where((F.col("fp") != F.col("pivot")) & (_apart("fp", "pivot") <= distance))
-    first = written(connected_components(stars.select(F.col("fp").alias("src"), F.col("pivot").alias("dst"))), "first")
-
-    known = members.select("key", "fp").join(first.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    known = written(known.select("key", "fp", F.coalesce("root", "fp").alias("c")), "known")
-    sizes = known.groupBy("key", "c").count()
-    main = sizes.groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    main = written(main.select("key", "main"), "main")
-    mixed = known.join(main, "key")
-    mixed = written(mixed, "mixed")
-    out = mixed.where("c != main").select("key", F.col("fp").alias("fp_a"), F.col("c").alias("c_a"))
-    rest = mixed.select("key", F.col("fp").alias("fp_b"), F.col("c").alias("c_b"))
-    pairs = out.join(rest, (out.key == rest.key) & (F.col("c_a") != F.col("c_b")) & (_apart("fp_a", "fp_b") <= distance))
-    second = connected_components(pairs.select(F.col("c_a").alias("src"), F.col("c_b").alias("dst")))
+    wide = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = written(prints.select("fp", "n"), "fps")
+    near = fps.select("fp", "n", F.explode(_equal_segments(F.col("fp"), distance)).alias("key"))
+    pivots = near.groupBy("key").agg(F.max(F.struct("n", "fp"))["fp"].alias("pivot"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+    pivots = written(pivots.where("lo != hi").select(F.col("key").alias("k"), "pivot"), "pivots")
+    linked = (F.col("key") == F.col("k")) & (F.col("fp") != F.col("pivot")) & (_apart("fp", "pivot") <= distance)
+    first = connected_components(_edges(near.join(pivots.hint("merge"), linked), "fp", "pivot"))
+    known = fps.join(first.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("c"))
+    known = written(known, "known")
+
+    keyed = known.repartition(wide, "fp").select("fp", "n", "c", F.explode(variants(F.col("fp"), distance)).alias("key"))
+    one = F.struct("fp", "c")
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(one).alias("lo"), F.max(one).alias("hi"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(F.struct("n", "fp", "c"))["c"].alias("main"))
+    chance = (F.col("size") == 2) & (_apart("lo.fp", "hi.fp") > distance)
+    buckets = written(buckets.where((F.col("c0") != F.col("c1")) & ~chance), "buckets")
+    twos = buckets.where("size = 2").select("c0", "c1")
+    larger = buckets.where("size > 2").select(F.col("key").alias("k"), "main")
+    outside = keyed.join(larger.hint("merge"), (F.col("key") == F.col("k")) & (F.col("c") != F.col("main"))).select("key", "fp", "c", "main")
+    outside = written(outside, "outside")
+    inside = keyed.select(F.col("key").alias("k"), F.col("fp").alias("other"), F.col("c").alias("own"))
+    meets = (F.col("key") == F.col("k")) & (F.col("main") == F.col("own")) & (_apart("fp", "other") <= distance)
+    to_main = outside.join(inside.hint("merge"), meets, "left_semi")
+    second = connected_components(_edges(twos, "c0", "c1").unionByName(_edges(to_main, "c", "main")))
     second = written(second, "second").select(F.col("node").alias("c"), F.col("root").alias("top"))
-    both = first.select(F.col("node").alias("fp"), F.col("root").alias("c")).unionByName(second.select(F.col("c").alias("fp"), "c")).distinct()
-    both = written(both, "both")
-    return both.join(second, "c", "left").select("fp", F.coalesce("top", "c").alias("root"))
+
+    left = outside.join(second, "c", "left").select("key", "fp", F.coalesce("top", "c").alias("c"))
+    left = written(left, "left")
+    right = left.select(F.col("key").alias("k"), F.col("fp").alias("other"), F.col("c").alias("own"))
+    pairs = left.join(right, (F.col("key") == F.col("k")) & (F.col("c") < F.col("own")) & (_apart("fp", "other") <= distance))
+    third = connected_components(_edges(pairs, "c", "own")).select(F.col("node").alias("top"), F.col("root").alias("last"))
+    named = known.join(second, "c", "left").select("fp", F.coalesce("top", "c").alias("top"))
+    return named.join(third, "top", "left").select("fp", F.coalesce("last", "top").alias("root"))
 
 
 def labelled(docs: DataFrame, id_col: str, text_col: str, words: int, distance: int, seed: int) -> DataFrame:
@@ -122,9 +150,8 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, words: int, distance:
     ensure_columns(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints = written(fingerprints(rows, "text", words, seed), "prints")
-    reps = written(prints.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
-    roots = written(link_components(reps, distance), "roots")
-    named = written(reps.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "named")
+    reps = written(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "reps")
+    named = written(reps.join(link_components(reps, distance), "fp").select("fp", "rep", "root"), "named")
     least = written(named.groupBy("root").agg(F.min("rep").alias("component")), "least")
     classes = written(named.join(least, "root").select("fp", "root", "component"), "classes")
     return prints.join(classes, "fp").select("id", "fp", "root", "component")
