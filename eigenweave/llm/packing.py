@@ -199,9 +199,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Lim
         end = np.array([end_id], "<u4")
         for b in batches:
             type_ = b.column(0).type
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+            for k in range(0, b.num_rows, 2000):
+                part = b.slice(k, 2000)
+                for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1))):
                     packer.add((key, np.concatenate((ids, end))), len(ids) + 1, len(ids) + 1)
                 yield from out(1000)
         packer.finish()

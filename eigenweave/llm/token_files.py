@@ -50,9 +50,9 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2
         counts, ids, nulls = [], [], []
         with open(f"{tmp}.bin", "wb") as f:
             for b in batches:
-                for k in range(0, b.num_rows, 256):
-                    part = b.slice(k, 256)
-                    for x in enc.encode(part.column(1).to_pylist()):
+                for k in range(0, b.num_rows, 2000):
+                    part = b.slice(k, 2000)
+                    for x in enc.encode(part.column(1)):
                         f.write(np.concatenate((x, end)).astype("<u4" if wide else "<u2").tobytes())
                         counts.append(len(x) + 1)
                     ids.append(part.column(0).fill_null(0).to_numpy(zero_copy_only=False))

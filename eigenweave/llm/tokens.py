@@ -1,10 +1,12 @@
-"""Token ids of a byte-level BPE file by the tokenizers library, with a memo of white-space-led words.
-
-Byte-level BPE cuts a text before every single space that a word follows, so ids of a run
-`optional space + non-space characters`, and of a run of other white space, do not depend on what
-stands around it. Each such run is encoded once by the library and looked up afterwards. Texts
-with control characters that regex engines class differently as white space, and texts of one run
-longer than a bound, go to the library whole.
+"""Token ids of a byte-level BPE file by the tokenizers library, with a memo of words.
+
+Byte-level BPE cuts a text before every single space between words and around every single line
+feed between lines, so the ids of a word with the space before it don't depend on what stands around
+them. A word is encoded once by the library and looked up afterwards: a text is split at spaces,
+`w` stands for " w", a line's first word has FIRST before it, and white space of any other kind is
+found by a regular expression and has SPACE before it. A plain word (Latin letters, then
+punctuation) goes to the library's BPE model as the pre-tokenizer would cut it, others through the
+whole tokenizer.
 """
 
 from __future__ import annotations
@@ -13,27 +15,38 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+FIRST, SPACE = "\x01", "\x02"
 #: The pre-tokenizer's cut at white space: a word with one leading space, all but the last of a run of white space, one white space.
 RUN = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: Python counts these as white space, other engines do not (or the reverse).
-ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")
-#: Distinct runs remembered by one worker, and runs looked up at once.
-MEMO, CHUNK = 400_000, 400_000
-#: Distinct words encoded as lines of one text.
-LINES = 2000
-PIECE = 1 << 20
+#: Engines differ on whether these are white space.
+ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:]*)")
+#: Distinct words remembered by one worker; bytes of texts split at once; characters of one text given to the regular expression at once.
+MEMO, CHUNK, PIECE = 600_000, 6 << 20, 1 << 20
+#: Number of a key that says: the text has other white space than single spaces and line feeds between words.
+BAD = 0
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable Latin-1 itself, the others from U+0100 on in turn."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class Memo(dict):
-    """Numbers runs as they are first asked for; `new` lists those not encoded yet."""
+    """Numbers keys as they are first asked for; `new` lists those not encoded yet."""
 
     def __init__(self) -> None:
+        self[""] = BAD
         self.new: list[str] = []
 
-    def __missing__(self, run: str) -> int:
-        self[run] = k = len(self)
-        self.new.append(run)
+    def __missing__(self, key: str) -> int:
+        self[key] = k = len(self)
+        self.new.append(key)
         return k
 
 
@@ -45,89 +58,127 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo, self.limit = Memo(), memo
+        self.letters = byte_letters()
+        self.model = self.tokenizer.model
+        self.marks: dict[str, list[int]] = {"": []}
+        self.limit = memo
+        self.memo = Memo()
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        line = self.whole(["\n"])[0]
-        self.newline = int(line[0]) if len(line) == 1 else None
+        self.starts, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode new runs: words as lines of one text, where a line feed is an id of its own; white space alone."""
-        if self.newline is None:
-            found = self.whole(words)
-        else:
-            solid = [k for k, w in enumerate(words) if not w.isspace()]
-            lines = self.whole(["\n".join([*(words[k] for k in solid[i : i + LINES]), ""]) for i in range(0, len(solid), LINES)])
-            cut: list[np.ndarray] = []
-            for ids in lines:
-                ends = np.flatnonzero(ids == self.newline)
-                cut += [ids[i:j] for i, j in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist())]
-            found = dict(zip(solid, cut))
-            spaces = [k for k in range(len(words)) if k not in found]
-            found |= zip(spaces, self.whole([words[k] for k in spaces]))
-            found = [found[k] for k in range(len(words))]
+    def _bpe(self, word: str) -> list[int]:
+        """Ids of one pre-token."""
+        mapped = ("Ġ" + word[1:] if word[0] == " " else word) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(mapped)]
+
+    def _learn(self, keys: list[str]) -> list[str]:
+        """Encode new keys; returns the bad ones."""
+        found: list[list[int]] = [[]] * len(keys)
+        odd, bad, plain, marks, base = [], [], PLAIN.fullmatch, self.marks, len(self.memo) - len(keys)
+        for k, key in enumerate(keys):
+            head = key[0]
+            if head == SPACE or key == "\n":
+                odd.append((k, key.removeprefix(SPACE)))
+                continue
+            word = key[1:] if head == FIRST else key
+            m = plain(word)
+            if m:
+                stem, mark = m.groups()
+                if mark not in marks:
+                    marks[mark] = self._bpe(mark)
+                known = self.memo.get(FIRST + stem if head == FIRST else stem, base) if mark else base
+                ids = self._bpe(stem if head == FIRST else " " + stem) if known >= base else self.flat[self.starts[known] : self.starts[known] + self.sizes[known]].tolist()
+                found[k] = ids + marks[mark]
+            elif not word or word[0].isspace() or word[-1].isspace() or ODD.match(word[0]) or ODD.match(word[-1]):
+                bad.append(key)
+            else:
+                odd.append((k, word if head == FIRST else " " + word))
+        if odd:
+            for (k, _), e in zip(odd, self.tokenizer.encode_batch_fast([w for _, w in odd], add_special_tokens=False)):
+                found[k] = e.ids
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        k, total = len(self.memo) - len(words), int(sizes.sum())
+        k, total = base, int(sizes.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while len(self.memo) > len(self.starts):
             self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
-        self.flat[self.used : self.used + total] = np.concatenate(found)
-        self.starts[k : k + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[k : k + len(words)] = sizes
+        self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(found), np.uint32, total)
+        self.starts[k : k + len(keys)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[k : k + len(keys)] = sizes
         self.used += total
+        return bad
 
-    def _look_up(self, runs: list[list[str]]) -> list[np.ndarray]:
-        """The ids of each list of runs, one array for each."""
-        if not runs:
-            return []
-        used, new = self.used, self.memo.new
-        per = np.fromiter(map(len, runs), np.int64, len(runs))
-        index = np.fromiter(map(self.memo.__getitem__, itertools.chain.from_iterable(runs)), np.int64, int(per.sum()))
+    def _numbers(self, keys: list[str]) -> np.ndarray:
+        """Numbers of keys, BAD for bad ones; new keys are encoded."""
+        new = self.memo.new
+        index = np.fromiter(map(self.memo.__getitem__, keys), np.int32, len(keys))
         if new:
-            self._learn(new)
-        size = self.sizes[index].astype(np.int64)
-        ends = np.cumsum(size)
-        at = np.repeat(self.starts[index] - (ends - size), size) + np.arange(int(size.sum()))
-        ids = self.flat[at]
-        if len(self.memo) > self.limit:  # full: what came first, and so the frequent words, stays
-            for w in new:
-                del self.memo[w]
+            for key in self._learn(new):
+                index[index == self.memo[key]] = BAD
+                self.memo[key] = BAD
+        return index
+
+    def _gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered keys one after another, and where each key's ids end."""
+        size = self.sizes[index]
+        ends = np.cumsum(size, dtype=np.int32)
+        at = np.repeat(self.starts[index] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
+        return self.flat[at], ends
+
+    def _forget(self, used: int) -> None:
+        """Once the memo is full, drop what was new: what came first, and so the frequent words, stays."""
+        if len(self.memo) > self.limit:
+            for key in self.memo.new:
+                del self.memo[key]
             self.used = used
-        new.clear()
-        return np.split(ids, np.concatenate(([0], ends))[np.cumsum(per)][:-1])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        pending: list[tuple[int, list[str]]] = []
-        held = 0
-
-        def flush() -> None:
-            nonlocal held
-            parts: dict[int, list[np.ndarray]] = {}
-            for (i, _), ids in zip(pending, self._look_up([r for _, r in pending])):
-                parts.setdefault(i, []).append(ids)
-            for i, p in parts.items():
-                before = [] if out[i] is None else [out[i]]
-                out[i] = np.concatenate(before + p) if before or len(p) > 1 else p[0]
-            pending.clear()
-            held = 0
-
-        for i, text in enumerate(texts):
-            if ODD.search(text):
-                out[i] = self.whole([text])[0]
-                continue
-            for piece in pieces(text):
-                runs = RUN.findall(piece)
-                pending.append((i, runs))
-                held += len(runs)
-                if held >= CHUNK:
-                    flush()
-        flush()
-        return [np.zeros(0, np.uint32) if x is None else x for x in out]
+        self.memo.new.clear()
+
+    def _slowly(self, text: str) -> np.ndarray:
+        """A text with other white space: words by the regular expression."""
+        if FIRST in text or SPACE in text or ODD.search(text):
+            return self.whole([text])[0]
+        out = [np.zeros(0, np.uint32)]
+        for piece in pieces(text):
+            used = self.used
+            index = self._numbers([SPACE + r if r.isspace() else r[1:] if r[0] == " " else FIRST + r for r in RUN.findall(piece)])
+            if (index == BAD).any():
+                self._forget(used)
+                return self.whole([text])[0]
+            out.append(self._gather(index)[0])
+            self._forget(used)
+        return np.concatenate(out)
+
+    def _some(self, texts: pa.StringArray) -> list[np.ndarray]:
+        lines = pc.binary_join_element_wise(FIRST, pc.replace_substring(texts, "\n", f" \n {FIRST}"), "")
+        words = pc.split_pattern(lines, " ")
+        upto = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
+        coded = words.flatten().dictionary_encode()
+        used = self.used
+        index = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        ids, ends = self._gather(index)
+        self._forget(used)
+        cuts = np.concatenate(([0], ends))[upto]
+        out = np.split(ids, cuts[:-1])
+        bad = set(np.searchsorted(upto, np.flatnonzero(index == BAD), "right").tolist())
+        marked = pc.or_(pc.match_substring(texts, FIRST), pc.match_substring(texts, SPACE))
+        bad.update(np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist())
+        for k in bad:
+            out[k] = self._slowly(texts[k].as_py())
+        return out
+
+    def encode(self, texts: pa.StringArray | list[str]) -> list[np.ndarray]:
+        """The ids of each text; none may be null."""
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        size = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)) if len(column) else np.zeros(0)
+        out, at = [], 0
+        while at < len(column):
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, "right")))
+            out += self._some(column.slice(at, to - at))
+            at = to
+        return out
 
 
 def pieces(text: str, size: int = PIECE) -> list[str]:
