@@ -96,5 +96,57 @@ SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end", CA
 """
 
 
+#: Statistics of words and lines, quantile buckets by rank, and fences of a group, its language or the corpus.
+OP5_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+pos AS (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2),
+win AS (SELECT k, i, count(*) OVER (PARTITION BY k, w[i], w[i + 1], w[i + 2]) AS c FROM pos),
+rep AS (SELECT k, count(DISTINCT i + j) AS n_repeat_words FROM win, range(3) r(j) WHERE c > 1 GROUP BY k),
+s AS (
+  SELECT k, doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (k)),
+m AS (
+  SELECT k, lang, source, n_words, unnest(['symbol_ratio', 'dup_line_ratio', 'repeat_ratio', 'word_length']) AS metric,
+    unnest([CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END]) AS v FROM s),
+b AS (SELECT *, CASE WHEN v < 1e-4 THEN -1073741824 ELSE floor(ln(v) / ln(1.02)) END AS bucket FROM m WHERE n_words > 0),
+r AS (
+  SELECT *, row_number() OVER own AS r1, count(*) OVER (PARTITION BY lang, source, metric) AS c1, row_number() OVER mid AS r2, count(*) OVER (PARTITION BY lang, metric) AS c2, row_number() OVER top AS r3, count(*) OVER (PARTITION BY metric) AS c3
+  FROM b WINDOW own AS (PARTITION BY lang, source, metric ORDER BY bucket), mid AS (PARTITION BY lang, metric ORDER BY bucket), top AS (PARTITION BY metric ORDER BY bucket)),
+q1 AS (SELECT lang, source, metric, max(c1) AS c, min(bucket) FILTER (WHERE r1 >= .25 * c1) AS a, min(bucket) FILTER (WHERE r1 >= .5 * c1) AS m, min(bucket) FILTER (WHERE r1 >= .75 * c1) AS z FROM r GROUP BY ALL),
+q2 AS (SELECT lang, metric, max(c2) AS c, min(bucket) FILTER (WHERE r2 >= .25 * c2) AS a, min(bucket) FILTER (WHERE r2 >= .5 * c2) AS m, min(bucket) FILTER (WHERE r2 >= .75 * c2) AS z FROM r GROUP BY ALL),
+q3 AS (SELECT metric, min(bucket) FILTER (WHERE r3 >= .25 * c3) AS a, min(bucket) FILTER (WHERE r3 >= .5 * c3) AS m, min(bucket) FILTER (WHERE r3 >= .75 * c3) AS z FROM r GROUP BY ALL),
+q AS (
+  SELECT q1.lang, q1.source, q1.metric, CASE WHEN q1.c >= 100 THEN q1.a WHEN q2.c >= 100 THEN q2.a ELSE q3.a END AS a, CASE WHEN q1.c >= 100 THEN q1.m WHEN q2.c >= 100 THEN q2.m ELSE q3.m END AS m, CASE WHEN q1.c >= 100 THEN q1.z WHEN q2.c >= 100 THEN q2.z ELSE q3.z END AS z
+  FROM q1 JOIN q2 ON q1.metric = q2.metric AND q1.lang IS NOT DISTINCT FROM q2.lang JOIN q3 ON q1.metric = q3.metric),
+f AS (
+  SELECT lang, source, metric, CASE WHEN a < -1e9 THEN 0 ELSE 1.02 ** (a + .5) END AS a, CASE WHEN m < -1e9 THEN 0 ELSE 1.02 ** (m + .5) END AS m, CASE WHEN z < -1e9 THEN 0 ELSE 1.02 ** (z + .5) END AS z FROM q),
+ok AS (
+  SELECT k, bool_and(v <= greatest(f.m + 8 * (f.m - f.a), CASE b.metric WHEN 'symbol_ratio' THEN .05 WHEN 'dup_line_ratio' THEN .5 WHEN 'repeat_ratio' THEN .45 ELSE 9 END)
+    AND (b.metric <> 'word_length' OR v >= least(f.m - 8 * (f.z - f.m), 3))) AS inside
+  FROM b JOIN f ON b.metric = f.metric AND b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source GROUP BY k),
+t AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s LEFT JOIN ok USING (k))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, false) AS kept FROM t
+"""
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d HAVING count(*) > 1)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM p LEFT JOIN f USING (d)
+"""
+
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM reach r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS y FROM reach GROUP BY x), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(y, vec_id)) AS component_id, vec_id <= coalesce(y, vec_id) AS kept FROM embeddings LEFT JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op1_substring_dedup": OP1_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op7_warc": OP7_SQL, "op10_embedding_dedup": OP10_SQL}

@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eigenweave.llm import mixing, quality
+from eigenweave.llm import mixing, quality, queries
 from eigenweave.llm.queries import op4_source_mixing, op5_quality_rules
+from helpers import agrees
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -97,6 +98,11 @@ def test_quality_query(spark, sf, texts):
         assert r["base_failed"] == (n[0] < 50 or 100 * n[4] > 50 * n[0]) and not (r["base_failed"] and r["kept"])
 
 
+@pytest.mark.parametrize("name", ["op5_quality_rules", "op7_warc", "op10_embedding_dedup"])
+def test_queries_equal_sql(spark, sf, name):
+    assert agrees(queries.queries()[name](spark, sf), queries.oracle_sql()[name], sf)
+
+
 @pytest.mark.parametrize("text", ["", "\n\n", "a a a a a", "a b c a b c", "x\n\nx\n x\ny\ny", "é|# é <b> & $5%", "one\x0btwo\x0cthree\r\nfour"])
 def test_text_stats(text):
     n, chars, symbols, _, dup, repeated = quality.text_stats(text.encode(), text)
