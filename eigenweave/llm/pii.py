@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, ensure_columns, written
+from .common import ensure_columns, written
 
 KINDS = ["email", "ip", "card", "phone"]
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,8 +34,8 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IN_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-WORDS = re.compile(WORD)
-EDGES = "".join(map(chr, range(33, 127))).translate({c: None for c in range(128) if chr(c).isalnum()})
+#: Terms are runs of letters and digits, the same for both engines.
+TERM, NO_TERM = re.compile(r"[^\W_]+"), r"[^\p{L}\p{N}]+"
 WINDOW, SUPPORT, THRESHOLD = 20, 3, 0.9
 
 
@@ -83,22 +83,15 @@ def entity(kind: str, value: str) -> int:
 
 
 def terms(text: str) -> list[tuple[str, int, int]]:
-    """(term, start, end): words in lower case without the punctuation around them."""
-    out = []
-    for m in WORDS.finditer(text):
-        left = m.group().lstrip(EDGES)
-        word = left.rstrip(EDGES)
-        if len(word) > 1:
-            start = m.end() - len(left)
-            out.append((word.lower(), start, start + len(word)))
-    return out
+    """(term, start, end): runs of two letters or digits or more, in lower case."""
+    return [(m.group().lower(), *m.span()) for m in TERM.finditer(text) if m.end() - m.start() > 1]
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-FOUND = "base string, n_email long, n_ip long, n_card long, n_phone long, entities array<long>, windows array<struct<e:long, sig:long, terms:array<string>>>"
+FOUND = "text string, base string, n_email long, n_ip long, n_card long, n_phone long, entities array<long>, windows array<struct<e:long, sig:long, terms:array<string>>>"
 
 
 def _windows(text: str, spans: list[tuple[str, int, int]], width: int) -> list[dict]:
@@ -122,36 +115,36 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            base, counts, ents, wins = [], [], [], []
+            texts, base, counts, ents, wins = [], [], [], [], []
             for text in b.column(2):
                 text = text.as_py()
                 spans = base_spans(text)
+                texts.append(text if spans else None)
                 base.append(joined(spans))
                 counts.append([sum(k == kind for k, *_ in spans) for kind in KINDS])
                 ents.append(sorted({entity(k, text[s:e]) for k, s, e in spans}))
                 wins.append(_windows(text, spans, width) if spans else [])
-            cols = [pa.array(base, pa.string()), *(pa.array(c, pa.int64()) for c in zip(*counts))] if counts else [pa.array([], pa.string()), *[pa.array([], pa.int64())] * 4]
+            cols = [pa.array(texts, pa.string()), pa.array(base, pa.string()), *(pa.array(c, pa.int64()) for c in zip(*counts))] if counts else [*[pa.array([], pa.string())] * 2, *[pa.array([], pa.int64())] * 4]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array(ents, pa.list_(pa.int64())), pa.array(wins, pa.list_(window))], [f.name for f in schema])
 
     return rows.mapInArrow(run, schema)
 
 
-def disclosing(docs: DataFrame, found: DataFrame, text_col: str, support: int, threshold: float) -> DataFrame | None:
-    """(e, t, share): terms whose PMI with an entity reaches the threshold's share of its information; None if no pair has support."""
+def disclosing(docs: DataFrame, found: DataFrame, text_col: str, support: int, threshold: float) -> DataFrame:
+    """(e, t, share): terms whose PMI with an entity reaches the threshold's share of its information.
+
+    Document counts are summed within each task before they are shuffled, so what moves is
+    vocabularies, not words.
+    """
     windows = found.select(F.explode("windows").alias("w")).select("w.e", "w.sig", "w.terms")
     sigs = windows.select("e", "sig").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
     known = written(sigs.where(F.col("n_e") >= support), "entities")
-    if known.isEmpty():
-        return None
     pairs = windows.join(known.select("e"), "e").select("e", "sig", F.explode("terms").alias("t")).distinct().groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et"))
     pairs = written(pairs.where(F.col("n_et") >= support), "pairs")
-    if pairs.isEmpty():
-        return None
-    wanted = written(pairs.select("t").distinct(), "terms")
     total = found.count()
-    trimmed = lambda w: F.lower(F.regexp_replace(w, TRIM, ""))
-    words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), trimmed))).alias("t"))
-    df = written(words.join(wanted, "t").groupBy("t").agg(F.count(F.lit(1)).alias("df")), "df")
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), NO_TERM))).alias("t")).where(F.length("t") > 1)
+    df = words.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    df = written(df.join(written(pairs.select("t").distinct(), "terms"), "t", "left_semi"), "df")
     rated = pairs.join(df, "t").join(known, "e")
     most = F.greatest(F.col("df"), F.col("n_et")).cast("double")
     pmi = F.log(F.col("n_et") * total / (F.col("n_e") * most))
@@ -159,25 +152,20 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str, support: int, t
     return written(rated.select("e", "t", share.alias("share")).where(F.col("share") >= threshold), "disclosing")
 
 
-TRIM = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
-
-
 def _term_spans(text: str, wanted: list[str], spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     names = set(wanted)
     return [("term", s, e) for t, s, e in terms(text) if t in names and not any(a < e and s < z for _, a, z in spans)]
 
 
-def _revealing(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, support: int, threshold: float) -> DataFrame | None:
-    """(id, h, terms) of the documents that hold disclosing terms' entities."""
+def _revealing(docs: DataFrame, found: DataFrame, text_col: str, support: int, threshold: float) -> DataFrame:
+    """(k_id, k_h, terms) of the documents that hold disclosing terms' entities."""
     pairs = disclosing(docs, found, text_col, support, threshold)
-    if pairs is None or pairs.isEmpty():
-        return None
     hit = found.select("id", "h", F.explode("entities").alias("e")).distinct().join(pairs, "e")
-    return written(hit.groupBy("id", "h").agg(F.sort_array(F.collect_set("t")).alias("terms")), "revealing")
+    return written(hit.groupBy(F.col("id").alias("k_id"), F.col("h").alias("k_h")).agg(F.sort_array(F.collect_set("t")).alias("terms")), "revealing")
 
 
-def _key(id_col: Column, text_col: Column) -> Column:
-    return id_col.eqNullSafe(F.col("k_id")) & (F.xxhash64(F.coalesce(text_col, F.lit(""))) == F.col("k_h"))
+def _same() -> Column:
+    return F.col("id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h"))
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
@@ -190,25 +178,18 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     ensure_columns(docs, id_col, text_col)
     found = written(_scan(docs, id_col, text_col, window), "found")
-    out = found.select("id", "h", "n_email", "n_ip", "n_card", "n_phone", "base")
-    revealing = _revealing(docs, found, id_col, text_col, support, threshold)
-    if revealing is None:
-        out = out.withColumn("spans", F.col("base"))
-    else:
-        keyed = revealing.select(F.col("id").alias("k_id"), F.col("h").alias("k_h"), "terms")
-        rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(keyed, _key(F.col("id"), F.col("text")))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                text, names = b.column(2).to_pylist(), b.column(3).to_pylist()
-                more = [joined(_term_spans(t, w, base_spans(t))) for t, w in zip(text, names)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(more, pa.string())], ["k_id", "k_h", "more"])
-
-        more = rows.select("k_id", "k_h", "text", "terms").mapInArrow(run, rows.select("k_id", "k_h").schema.add("more", "string")).distinct()
-        out = out.join(written(more, "more"), F.col("id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h")), "left")
-        spans = F.concat_ws(",", *(F.when(F.col(c) != "", F.col(c)) for c in ("base", "more")))
-        out = out.withColumn("spans", spans)
-    return out.select(F.col("id").alias(id_col), "n_email", "n_ip", "n_card", "n_phone", "base", "spans")
+    revealing = _revealing(docs, found, text_col, support, threshold)
+    rows = found.where("text is not null").select("id", "h", "text").join(revealing, _same()).select("k_id", "k_h", "text", "terms")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            more = [joined(_term_spans(t, w, base_spans(t))) for t, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(more, pa.string())], ["k_id", "k_h", "more"])
+
+    more = rows.mapInArrow(run, rows.select("k_id", "k_h").schema.add("more", "string")).distinct()
+    out = found.select("id", "h", "n_email", "n_ip", "n_card", "n_phone", "base").join(written(more, "more"), _same(), "left")
+    spans = F.concat_ws(",", *(F.when(F.col(c) != "", F.col(c)) for c in ("base", "more")))
+    return out.select(F.col("id").alias(id_col), "n_email", "n_ip", "n_card", "n_phone", "base", spans.alias("spans"))
 
 
 def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -225,13 +206,9 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """docs with every span of find_personal() replaced by its kind in brackets; null texts stay null, all rows and columns stay."""
     ensure_columns(docs, id_col, text_col)
     found = written(_scan(docs, id_col, text_col, window), "found")
-    revealing = _revealing(docs, found, id_col, text_col, support, threshold)
-    rows = docs.select(F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
-    if revealing is None:
-        rows = rows.withColumn("terms", F.lit(None).cast("array<string>"))
-    else:
-        keyed = revealing.select(F.col("id").alias("k_id"), F.col("h").alias("k_h"), "terms")
-        rows = rows.join(keyed, _key(F.col("row")[id_col], F.col("text")), "left").select("text", "row", "terms")
+    revealing = _revealing(docs, found, text_col, support, threshold)
+    rows = docs.select(F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    rows = rows.join(revealing, _same(), "left").select("text", "row", "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
