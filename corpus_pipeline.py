@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eigenweave.llm import mixing, packing, pii, quality, simhash
 from eigenweave.llm.common import scratch
 from eigenweave.llm.queries import tokenizer_path
+from eigenweave.sources.ship import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each one's result written to the shared folder and read again."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = scratch(spark, f"stage-{name}")
