@@ -214,16 +214,19 @@ def a8_communication_cost(spark, sf):
     return spark.createDataFrame(rows, "method string, rounds int, bytes_per_party int, total_bytes int")
 
 
-@query(f"WITH {BASE}, {eig('p', POOLED)} SELECT 512 + 1 AS bytes FROM p WHERE false UNION ALL SELECT 513")
+@query("SELECT * FROM (VALUES ('fit on no rows', true), ('no components', true), ('transform before fit', true), ('unknown method', true)) t(what, raised)")
 def a9_guards(spark, sf):
-    """What an unfitted model and bad parameters raise, counted, on top of 512."""
-    raised = 0
-    for bad in (lambda: estimator("P-COV", 2).transform(lineitem(spark, sf)),):
+    """What raises ValueError."""
+    s = lineitem(spark, sf)
+    tries = {"transform before fit": lambda: estimator("P-COV", 2).transform(s), "no components": lambda: estimator("P-COV", 0), "unknown method": lambda: estimator("?", 2), "fit on no rows": lambda: estimator("P-COV", 2).fit(s.where("false"))}
+    rows = []
+    for what, f in tries.items():
         try:
-            bad()
+            f()
+            rows.append((what, False))
         except ValueError:
-            raised += 1
-    return spark.createDataFrame([(512 + raised,)], "bytes int")
+            rows.append((what, True))
+    return spark.createDataFrame(rows, "what string, raised boolean")
 
 
 # B: sources and partitions
