@@ -25,5 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/eigenweave/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder that nothing else uses; it stays until clear_scratch()."""
+    return f"{shared_dir(spark)}/eigenweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written below the shared folder. Results that still read it must be done."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/eigenweave/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -93,6 +93,29 @@ def test_sinks(spark, tmp_path):
         write(results_frame(spark, nested), f"file://{tmp_path}/x", "xls")
 
 
+def test_scratch(spark):
+    import os
+
+    from eigenweave.sources.scratch import clear_scratch, scratch
+
+    a, b = scratch(spark, "x"), scratch(spark, "x")
+    assert a != b
+    spark.range(3).write.parquet(a)
+    assert os.path.isdir(a.removeprefix("file://"))
+    clear_scratch(spark)
+    assert not os.path.exists(a.removeprefix("file://"))
+
+
+def test_package_is_shipped_once(spark, monkeypatch):
+    from eigenweave.sources import ship
+
+    monkeypatch.setenv("PYTHONPATH", "")
+    monkeypatch.setattr(ship, "_shipped", set())
+    ship.ship(spark)
+    ship.ship(spark)
+    assert spark.range(4).repartition(2).mapInPandas(lambda it: it, "id long").count() == 4 and len(ship._shipped) == 1
+
+
 def test_sql_functions(spark):
     sql_functions.register(spark)
     got = spark.sql("SELECT vec_dot(array(1D, 2D), array(3D, 4D)) AS d, vec_norm(array(3D, 4D)) AS n, vec_clip(array(3D, 4D), 1D) AS c, pca_project(array(2D, 3D), array(1D, 1D), array(array(1D, 0D), array(0D, 2D))) AS p").first()
