@@ -87,6 +87,19 @@ def terms(text: str) -> list[tuple[str, int, int]]:
     return [(m.group().lower(), *m.span()) for m in TERM.finditer(text) if m.end() - m.start() > 1]
 
 
+def free_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The terms that overlap no span, in one sweep over both."""
+    taken = sorted((s, e) for _, s, e in spans)
+    out, k, reach = [], 0, 0
+    for term in terms(text):
+        while k < len(taken) and taken[k][0] < term[2]:
+            reach = max(reach, taken[k][1])
+            k += 1
+        if reach <= term[1]:
+            out.append(term)
+    return out
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
@@ -95,7 +108,7 @@ FOUND = "text string, base string, n_email long, n_ip long, n_card long, n_phone
 
 
 def _windows(text: str, spans: list[tuple[str, int, int]], width: int) -> list[dict]:
-    free = [t for t in terms(text) if not any(s < t[2] and t[1] < e for _, s, e in spans)]
+    free = free_terms(text, spans)
     starts = [t[1] for t in free]
     out = []
     for kind, s, e in spans:
@@ -154,7 +167,7 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str, support: int, t
 
 def _term_spans(text: str, wanted: list[str], spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     names = set(wanted)
-    return [("term", s, e) for t, s, e in terms(text) if t in names and not any(a < e and s < z for _, a, z in spans)]
+    return [("term", s, e) for t, s, e in free_terms(text, spans) if t in names]
 
 
 def _revealing(docs: DataFrame, found: DataFrame, text_col: str, support: int, threshold: float) -> DataFrame:

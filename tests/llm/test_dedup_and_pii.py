@@ -49,6 +49,16 @@ def test_repeats_and_removal(docs_of):
         substring_dedup.repeats(docs, "word")
 
 
+def test_free_terms():
+    import random
+
+    r = random.Random(4)
+    for _ in range(300):
+        text = "".join(r.choice("ab1 .") for _ in range(40))
+        spans = [("x", a, a + r.randint(1, 9)) for a in (r.randrange(40) for _ in range(r.randint(0, 5)))]
+        assert pii.free_terms(text, spans) == [t for t in pii.terms(text) if not any(s < t[2] and t[1] < e for _, s, e in spans)]
+
+
 def luhn(d):
     odd, even = d[::-1][::2], d[::-1][1::2]
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(c), 10)) for c in even)) % 10 == 0
