@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +72,25 @@ class Estimator:
     def fit_transform(self, samples: DataFrame) -> DataFrame:
         return self.fit(samples).transform(samples)
 
+    @property
+    def components_(self) -> np.ndarray:
+        return self.model.components
+
+    @property
+    def mean_(self) -> np.ndarray:
+        return self.model.mean
+
+    @property
+    def explained_variance_(self) -> np.ndarray:
+        return self.model.explained_variance
+
+    @property
+    def explained_variance_ratio_(self) -> np.ndarray:
+        return self.model.explained_variance_ratio
+
+    def get_communication_cost(self) -> dict:
+        return self.communication_cost()
+
     def communication_cost(self) -> dict:
         """rounds, bytes_per_party and total_bytes of the last fit."""
         self.model  # noqa: B018
