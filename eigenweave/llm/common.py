@@ -11,6 +11,8 @@ from ..sources.scratch import scratch
 
 #: Words of every contract here: runs without ASCII white space (bytes.split() cuts at the same six bytes).
 WORD = r"[^\x20\x09-\x0D]+"
+#: Most rows and bytes of a batch that goes to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 4000, "8m"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,6 +37,11 @@ def make_dir(uri: str) -> str:
     return path
 
 
-def ensure_columns(df: DataFrame, *names: str) -> None:
+def check_input(df: DataFrame, *names: str) -> None:
+    """The columns exist; Arrow batches of the session are bounded by bytes, as texts may be very long."""
     if missing := [n for n in names if n not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

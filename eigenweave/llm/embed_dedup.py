@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_columns, written
+from .common import check_input, written
 from .components import connected_components
 
 SAMPLE, BLOCK, STRIPS = 4096, 2048, 64
@@ -97,7 +97,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     id or have none: such a row links like any other, but names no component. Other columns are
     left aside, whatever their names. An empty table gives an empty table.
     """
-    ensure_columns(vectors, id_col, vector_col, label_col)
+    check_input(vectors, id_col, vector_col, label_col)
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     spark = vectors.sparkSession

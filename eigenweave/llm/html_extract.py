@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_columns
+from .common import check_input
 from .crf import LinearChain
 from .dom import Block, blocks
 from .page_samples import Pages
@@ -95,7 +95,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     text. Ids and urls may be null or repeat. Other columns are left aside, whatever their names.
     An empty table gives an empty table.
     """
-    ensure_columns(pages, id_col, url_col, html_col)
+    check_input(pages, id_col, url_col, html_col)
     fitted = crf or model()
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("__html"))
     schema = rows.select(id_col, url_col).schema.add("text", "string").add("n_chars", "long")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ensure_columns, written
+from .common import WORD, check_input, written
 
 LEVELS, STEP = 3, 10
 
@@ -87,7 +87,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3,
     agree. A source without words has target 0 and takes nothing. An empty table gives an empty
     table. Other columns are left aside, whatever their names.
     """
-    ensure_columns(docs, id_col, text_col, source_col)
+    check_input(docs, id_col, text_col, source_col)
     rows = written(sized(docs, id_col, text_col, source_col, seed), "sizes")
     out = rows.join(thresholds(rows, weights, cap), F.col("source").eqNullSafe(F.col("g"))).withColumn("copies", _copies())
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
@@ -95,7 +95,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3,
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs, each as often as mix() takes it, with docs' own columns."""
-    ensure_columns(docs, id_col, text_col, source_col)
+    check_input(docs, id_col, text_col, source_col)
     goal = thresholds(written(sized(docs, id_col, text_col, source_col, seed), "sizes"), weights, cap)
     row = sized(docs, id_col, text_col, source_col, seed, F.struct(*docs.columns).alias("row"))
     out = row.join(goal, F.col("source").eqNullSafe(F.col("g"))).select("row", F.explode(F.array_repeat(F.lit(1), _copies())))

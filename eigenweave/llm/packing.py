@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ensure_columns
+from .common import check_input
 
 #: Waiting examples of a partition at which sequences are filled, and down to which.
 POOL = 2048
@@ -136,7 +136,7 @@ def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: s
     Null counts are 0 tokens; an example without tokens takes a segment. An example over a limit is
     an error. Ids may be null or repeat. sequence_id holds the partition in its upper bits.
     """
-    ensure_columns(examples, id_col, tokens_col, loss_col)
+    check_input(examples, id_col, tokens_col, loss_col)
     rows = examples.select(F.col(id_col).alias("id"), F.coalesce(F.col(tokens_col), F.lit(0)).cast("long").alias("t"), F.coalesce(F.col(loss_col), F.lit(0)).cast("long").alias("l"))
     kind = rows.schema["id"].dataType
     schema = T.StructType([T.StructField(id_col, kind), *(T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "length"))])
@@ -172,7 +172,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Lim
     Ids of documents may be null or repeat: each row is a document. Other columns are left aside.
     An empty table gives an empty table. tokenizer: path of a tokenizers JSON file.
     """
-    ensure_columns(docs, id_col, text_col)
+    check_input(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType
     longs = ["start", "length", "doc_tokens", "sequence_id", "offset"]

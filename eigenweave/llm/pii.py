@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ensure_columns, written
+from .common import check_input, written
+from .tokens import release
 
 KINDS = ["email", "ip", "card", "phone"]
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -127,6 +128,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     window = pa.struct([("e", pa.int64()), ("sig", pa.int64()), ("terms", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             texts, base, counts, ents, wins = [], [], [], [], []
             for text in b.column(2):
@@ -189,12 +191,13 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     has none. Ids may be null or repeat; rows equal in id and text get equal spans. Other columns
     are left aside, whatever their names. An empty table gives an empty table.
     """
-    ensure_columns(docs, id_col, text_col)
+    check_input(docs, id_col, text_col)
     found = written(_scan(docs, id_col, text_col, window), "found")
     revealing = _revealing(docs, found, text_col, support, threshold)
     rows = found.where("text is not null").select("id", "h", "text").join(revealing, _same()).select("k_id", "k_h", "text", "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             more = [joined(_term_spans(t, w, base_spans(t))) for t, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(more, pa.string())], ["k_id", "k_h", "more"])
@@ -217,13 +220,14 @@ def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """docs with every span of find_personal() replaced by its kind in brackets; null texts stay null, all rows and columns stay."""
-    ensure_columns(docs, id_col, text_col)
+    check_input(docs, id_col, text_col)
     found = written(_scan(docs, id_col, text_col, window), "found")
     revealing = _revealing(docs, found, text_col, support, threshold)
     rows = docs.select(F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
     rows = rows.join(revealing, _same(), "left").select("text", "row", "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             out = []
             for t, w in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):

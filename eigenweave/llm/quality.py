@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_columns, written
+from .common import check_input, written
+from .tokens import release
 
 GAMMA, ZERO = 1.02, 1e-4
 MIN_DOCS = 100
@@ -69,10 +70,11 @@ def repeated_words(words: list[bytes]) -> int:
 
 def document_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs' columns but the text, and STATS as longs. A null text counts as empty."""
-    ensure_columns(docs, text_col)
+    check_input(docs, text_col)
     kept = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             rows = ((t.as_py() or "") for t in b.column(0))
             stats = np.array([text_stats(t.encode(), t) for t in rows], np.int64).reshape(-1, len(STATS))
@@ -140,7 +142,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     null languages and sources are groups of their own. Ids may be null or repeat, every row is
     judged. Other columns are left aside, whatever their names. An empty table gives an empty one.
     """
-    ensure_columns(docs, id_col, text_col, lang_col, source_col)
+    check_input(docs, id_col, text_col, lang_col, source_col)
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     stats = written(document_stats(rows, "text"), "stats")
     return _verdicts(stats, spreads, min_docs).select(F.col("id").alias(id_col), *STATS, "base_failed", "kept")
@@ -161,7 +163,7 @@ def _verdicts(stats: DataFrame, spreads: float, min_docs: int) -> DataFrame:
 
 def passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", spreads: float = SPREADS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The rows of docs that judge() keeps, with docs' own columns: statistics are written with the rows."""
-    ensure_columns(docs, text_col, lang_col, source_col)
+    check_input(docs, text_col, lang_col, source_col)
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.struct(*docs.columns).alias("row"))
     stats = written(document_stats(rows, "text"), "stats")
     return _verdicts(stats, spreads, min_docs).where("kept").select("row.*")

@@ -13,8 +13,8 @@ each of which contracts what it has connected:
 1. In buckets of equal segments every fingerprint is compared with the one there that the most
    documents have. That connects most of a group of near copies at the cost of its size.
 2. Buckets of one-wildcard variants that hold several components by now: a bucket of two is one
-   pair, compared as it is counted. In larger ones, members outside the component of the bucket's
-   most frequent fingerprint ask whether that component has a member they are linked with.
+   pair, compared as it is counted. In larger ones, members outside the bucket's main component
+   (one of the largest size class there) ask whether it has a member they are linked with.
 3. Members still outside are joined with each other where their components differ.
 
 Every pair that shares a variant is thereby compared, or lies in one component already.
@@ -30,10 +30,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_columns, written
+from .common import check_input, written
 from .components import connected_components
+from .tokens import release
 
 BITS = 64
+#: Least number of partitions that variants are dealt to. A fingerprint's variants then hardly meet in one, so that what a row costs doesn't grow with the input.
+LEAST_PARTS = 96
 #: Shingles whose bits are counted at once, which bounds memory for very long texts.
 BLOCK = 1 << 15
 
@@ -60,11 +63,12 @@ def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
     """docs' columns but the text, with `fp` long. A null text counts as empty."""
-    ensure_columns(docs, text_col)
+    check_input(docs, text_col)
     kept = [c for c in docs.columns if c != text_col]
     src = docs.select(F.col(text_col).cast("binary").alias("__text"), *kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), words, seed) for t in b.column(0)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fp.view(np.int64))], [*kept, "fp"])
@@ -111,23 +115,26 @@ def link_components(prints: DataFrame, distance: int = 4) -> DataFrame:
     """
     if not 0 <= distance <= 40:
         raise ValueError("distance must be from 0 to 40: shorter segments index nothing")
-    wide = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = max(LEAST_PARTS, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     fps = written(prints.select("fp", "n"), "fps")
     near = fps.select("fp", "n", F.explode(_equal_segments(F.col("fp"), distance)).alias("key"))
     pivots = near.groupBy("key").agg(F.max(F.struct("n", "fp"))["fp"].alias("pivot"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
     pivots = written(pivots.where("lo != hi").select(F.col("key").alias("k"), "pivot"), "pivots")
     linked = (F.col("key") == F.col("k")) & (F.col("fp") != F.col("pivot")) & (_apart("fp", "pivot") <= distance)
     first = connected_components(_edges(near.join(pivots.hint("merge"), linked), "fp", "pivot"))
-    known = fps.join(first.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("c"))
+    known = fps.join(first.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("c"))
     known = written(known, "known")
-
-    keyed = known.repartition(wide, "fp").select("fp", "n", "c", F.explode(variants(F.col("fp"), distance)).alias("key"))
-    one = F.struct("fp", "c")
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(one).alias("lo"), F.max(one).alias("hi"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(F.struct("n", "fp", "c"))["c"].alias("main"))
-    chance = (F.col("size") == 2) & (_apart("lo.fp", "hi.fp") > distance)
+    grown = written(known.groupBy("c").count().where("count > 1"), "grown")
+    known = written(known.join(grown, "c", "left").select("fp", "c", F.coalesce("count", F.lit(1)).alias("members")), "sized")
+
+    # plain minima and maxima of numbers: hash aggregation sums up within a task before the shuffle
+    keyed = known.repartition(wide, "fp").select("fp", "c", "members", F.explode(variants(F.col("fp"), distance)).alias("key")).repartition(wide, "key")
+    among = lambda least, name: F.max(F.when(F.col("members") >= least, F.col("c"))).alias(name)
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min("c").alias("c0"), F.max("c").alias("c1"), among(2, "m1"), among(64, "m2"), among(4096, "m3"))
+    chance = (F.col("size") == 2) & (_apart("lo", "hi") > distance)
     buckets = written(buckets.where((F.col("c0") != F.col("c1")) & ~chance), "buckets")
     twos = buckets.where("size = 2").select("c0", "c1")
-    larger = buckets.where("size > 2").select(F.col("key").alias("k"), "main")
+    larger = buckets.where("size > 2").select(F.col("key").alias("k"), F.coalesce("m3", "m2", "m1", "c1").alias("main"))
     outside = keyed.join(larger.hint("merge"), (F.col("key") == F.col("k")) & (F.col("c") != F.col("main"))).select("key", "fp", "c", "main")
     outside = written(outside, "outside")
     inside = keyed.select(F.col("key").alias("k"), F.col("fp").alias("other"), F.col("c").alias("own"))
@@ -141,13 +148,13 @@ def link_components(prints: DataFrame, distance: int = 4) -> DataFrame:
     right = left.select(F.col("key").alias("k"), F.col("fp").alias("other"), F.col("c").alias("own"))
     pairs = left.join(right, (F.col("key") == F.col("k")) & (F.col("c") < F.col("own")) & (_apart("fp", "other") <= distance))
     third = connected_components(_edges(pairs, "c", "own")).select(F.col("node").alias("top"), F.col("root").alias("last"))
-    named = known.join(second, "c", "left").select("fp", F.coalesce("top", "c").alias("top"))
+    named = known.drop("members").join(second, "c", "left").select("fp", F.coalesce("top", "c").alias("top"))
     return named.join(third, "top", "left").select("fp", F.coalesce("last", "top").alias("root"))
 
 
 def labelled(docs: DataFrame, id_col: str, text_col: str, words: int, distance: int, seed: int) -> DataFrame:
     """(id, fp, root, component) for each row of docs, where root names the component by a fingerprint."""
-    ensure_columns(docs, id_col, text_col)
+    check_input(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints = written(fingerprints(rows, "text", words, seed), "prints")
     reps = written(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "reps")

@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_columns, written
+from .common import check_input, written
+from .tokens import release
 
 #: A unit ends after a match.
 ENDS = {"line": r"\n", "paragraph": r"\n[ \t]*\n\s*", "sentence": r"[.!?]+[ \t]+|\n"}
@@ -48,6 +49,7 @@ def units(docs: DataFrame, unit: str, id_col: str, text_col: str) -> DataFrame:
         schema = schema.add(n, "long" if n in ("d1", "d2") else "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         ends = re.compile(ENDS[unit])
         for b in batches:
             row, cols, digests = [], ([], [], [], []), []
@@ -85,7 +87,7 @@ def repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 20, id_col
     they stay or go together. Null, empty and wordless texts have no units. Other columns are left
     aside, whatever their names. An empty table gives an empty table.
     """
-    ensure_columns(docs, id_col, text_col)
+    check_input(docs, id_col, text_col)
     found = written(units(docs, unit, id_col, text_col), "units")
     common = found.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2")
     again = written(found.join(written(common, "common"), ["d1", "d2"], "left_semi"), "again")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_columns, local_path, make_dir, written
+from .common import check_input, local_path, make_dir, written
 
 OUT_BYTES = 4 << 20
 
@@ -34,7 +34,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2
     texts. A null or empty text is its end id. ids must be integers. An empty table gives a
     manifest without shards. A task that runs again replaces its files by equal ones.
     """
-    ensure_columns(docs, id_col, text_col)
+    check_input(docs, id_col, text_col)
     folder = make_dir(out)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h")

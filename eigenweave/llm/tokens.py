@@ -25,7 +25,7 @@ RUN = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:]*)")
 #: Distinct words remembered by one worker; bytes of texts split at once; characters of one text given to the regular expression at once.
-MEMO, CHUNK, PIECE = 600_000, 6 << 20, 1 << 20
+MEMO, CHUNK, PIECE = 400_000, 4 << 20, 1 << 20
 #: Number of a key that says: the text has other white space than single spaces and line feeds between words.
 BAD = 0
 
@@ -196,6 +196,13 @@ def pieces(text: str, size: int = PIECE) -> list[str]:
 _encoders: dict[str, Encoder] = {}
 
 
+def release() -> None:
+    """Give the memos back, where a worker goes on to other work."""
+    if _encoders:
+        _encoders.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def encoder(path: str) -> Encoder:
     """The worker's own encoder of a file, kept between batches and tasks."""
     if path not in _encoders:

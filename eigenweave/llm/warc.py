@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_columns, local_path, make_dir, written
+from .common import check_input, local_path, make_dir, written
 from .zip_range import RangeFile, data_start, directory
 
 WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -84,7 +84,7 @@ def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col:
     id's is the response (every row with that id, should ids repeat). Rows without an id are revisits if a
     payload equal to theirs has an id. Extra columns are left aside. An empty table gives no package.
     """
-    ensure_columns(pages, id_col, url_col, html_col)
+    check_input(pages, id_col, url_col, html_col)
     folder = make_dir(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
