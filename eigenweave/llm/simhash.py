@@ -128,7 +128,8 @@ def link_components(prints: DataFrame, distance: int = 4) -> DataFrame:
     known = written(known.join(grown, "c", "left").select("fp", "c", F.coalesce("count", F.lit(1)).alias("members")), "sized")
 
     # plain minima and maxima of numbers: hash aggregation sums up within a task before the shuffle
-    keyed = known.repartition(wide, "fp").select("fp", "c", "members", F.explode(variants(F.col("fp"), distance)).alias("key")).repartition(wide, "key")
+    each = known.repartition(wide, "fp").select("fp", "c", "members", F.explode(variants(F.col("fp"), distance)).alias("key"))
+    keyed = each.repartition(wide, "key")
     among = lambda least, name: F.max(F.when(F.col("members") >= least, F.col("c"))).alias(name)
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min("c").alias("c0"), F.max("c").alias("c1"), among(2, "m1"), among(64, "m2"), among(4096, "m3"))
     chance = (F.col("size") == 2) & (_apart("lo", "hi") > distance)
@@ -137,10 +138,10 @@ def link_components(prints: DataFrame, distance: int = 4) -> DataFrame:
     larger = buckets.where("size > 2").select(F.col("key").alias("k"), F.coalesce("m3", "m2", "m1", "c1").alias("main"))
     outside = keyed.join(larger.hint("merge"), (F.col("key") == F.col("k")) & (F.col("c") != F.col("main"))).select("key", "fp", "c", "main")
     outside = written(outside, "outside")
-    inside = keyed.select(F.col("key").alias("k"), F.col("fp").alias("other"), F.col("c").alias("own"))
-    meets = (F.col("key") == F.col("k")) & (F.col("main") == F.col("own")) & (_apart("fp", "other") <= distance)
-    to_main = outside.join(inside.hint("merge"), meets, "left_semi")
-    second = connected_components(_edges(twos, "c0", "c1").unionByName(_edges(to_main, "c", "main")))
+    asking = outside.select(F.col("key").alias("k"), F.col("fp").alias("other"), F.col("c").alias("own"), "main")
+    meets = (F.col("key") == F.col("k")) & (F.col("main") == F.col("c")) & (_apart("fp", "other") <= distance)
+    to_main = asking.join(each.select("key", "fp", "c").repartition(wide, "key", "c").hint("merge"), meets, "left_semi")
+    second = connected_components(_edges(twos, "c0", "c1").unionByName(_edges(to_main, "own", "main")))
     second = written(second, "second").select(F.col("node").alias("c"), F.col("root").alias("top"))
 
     left = outside.join(second, "c", "left").select("key", "fp", F.coalesce("top", "c").alias("c"))
@@ -185,7 +186,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     found = written(labelled(docs, id_col, text_col, words, distance, seed), "found")
     winners = found.where(F.col("id") == F.col("component")).groupBy("id").count()
     winners = written(winners.select(F.col("id").alias(id_col), "count"), "winners")
-    single = docs.join(winners.where("count = 1").select(id_col), id_col, "left_semi")
+    # merged at any size: winners are most of the documents, so only a small input could broadcast them
+    single = docs.join(winners.where("count = 1").select(id_col).hint("merge"), id_col, "left_semi")
     kept = single.select(docs.columns)
     repeated = winners.where("count > 1").select(id_col)
     if not repeated.isEmpty():
