@@ -122,6 +122,19 @@ def test_disclosing_terms(docs_of):
     assert clean[700] == "[TERM] and [EMAIL]; [TERM]'s" and clean[701] == "Zorblat alone" and "Hapaxia [EMAIL]" in clean[600]
 
 
+def test_windows_that_share_a_frequent_word_are_not_copies(docs_of):
+    rng = np.random.RandomState(2)
+    words = [f"w{x}" for x in range(400)]
+    low = min(words, key=lambda w: pii.xxhash.xxh64_intdigest(w.encode(), 1))
+    filler = lambda n: " ".join([*rng.choice(words, n), low])
+    rows = [(k, f"{filler(18)} Zorblat zora@example.org {filler(18)}") for k in range(6)]
+    quote = filler(18).split()
+    rows += [(100 + k, " ".join([*quote[:k], f"x{k}", *quote[k + 1 :], "Hapaxia hana@example.org", *quote])) for k in range(12)]
+    rows += [(200 + k, filler(40)) for k in range(300)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal(docs_of(rows)).collect()}
+    assert all(got[k].count("term:") == 1 for k in range(6)) and not any("term:" in got[100 + k] for k in range(12))
+
+
 def test_pii_edges(docs_of):
     docs = docs_of([(None, "a@b.cd"), (1, None), (2, ""), (1, "a@b.cd"), (1, "a@b.cd")])
     assert sorted(r["n_email"] for r in pii.find_personal(docs).collect()) == [0, 0, 1, 1, 1]
