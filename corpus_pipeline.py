@@ -23,7 +23,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data and disclosing terms generalised in text; n_chars follows the text."""
-    clean = pii.sanitised(docs)
+    clean = pii.sanitised(docs, everywhere=True)
     return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -4,12 +4,14 @@ Patterns find e-mail addresses, IP addresses, card and phone numbers; their valu
 entities. Corpus counts then measure what other words disclose (information-theoretic sanitisation):
 with p from document counts, a term t discloses an entity e by PMI(e; t) = log p(e, t) / (p(e) p(t))
 of the IC(e) = -log p(e) bits that the entity carries. A term is a disclosing one if PMI reaches a share
-`threshold` of IC, that is, if seeing it comes close to seeing the entity; such terms are found in
-every document with the entity, besides the pattern spans, and are generalised like these.
-
-Co-occurrence is counted in windows around entities. Copies and near copies of a passage would
-make each of its words a certain sign of its entity; so a window counts unless it is a near copy of
-one of its entity that ranks earlier, and an entity or a pair needs `support` such windows. Near
+`threshold` of IC, that is, if seeing it comes close to seeing the entity; such terms are found
+besides the pattern spans and generalised like these: with `everywhere` in every document that holds
+them, else in those with the entity itself.
+
+p(e), p(t) and p(e, t) are shares of whole documents. Copies and near copies of a passage would
+make each of its words a certain sign of its entity; so the terms around an entity in a document
+make a window, a window counts unless it is a near copy of one of its entity that ranks earlier, and
+an entity or a pair needs documents of `support` such windows. Near
 copies share all ROWS min-hashes of one of BANDS bands: at a Jaccard similarity of 0.06 a pair does
 so with a chance of 4e-9, at 0.8 of 0.99. All counts are over all documents; no group is gathered,
 no pair of windows is a row, and only pairs of supported entities are expanded.
@@ -110,7 +112,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-FOUND = "text string, base string, n_email long, n_ip long, n_card long, n_phone long, entities array<long>, windows array<struct<e:long, sig:long, bands:array<long>, terms:array<string>>>"
+FOUND = "base string, n_email long, n_ip long, n_card long, n_phone long, entities array<long>, windows array<struct<e:long, sig:long, bands:array<long>>>, terms array<string>"
 
 
 def signature(near: list[str]) -> tuple[int, list[int]]:
@@ -122,45 +124,52 @@ def signature(near: list[str]) -> tuple[int, list[int]]:
     return sig, mixed.reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
 
 
-def _windows(text: str, spans: list[tuple[str, int, int]], width: int) -> list[dict]:
+def _windows(text: str, spans: list[tuple[str, int, int]], width: int) -> tuple[list[dict], list[str]]:
+    """One window for each entity, of the terms around all of its places; and all terms of the text."""
     free = free_terms(text, spans)
     starts = [t[1] for t in free]
-    out = []
+    near: dict[int, set[str]] = {}
     for kind, s, e in spans:
         k = bisect_left(starts, s)
-        near = sorted({t[0] for t in free[max(0, k - width) : k + width]})
-        if near:
-            sig, bands = signature(near)
-            out.append({"e": entity(kind, text[s:e]), "sig": sig, "bands": bands, "terms": near})
-    return out
+        near.setdefault(entity(kind, text[s:e]), set()).update(t[0] for t in free[max(0, k - width) : k + width])
+    out = []
+    for e, found in near.items():
+        if found:
+            sig, bands = signature(sorted(found))
+            out.append({"e": e, "sig": sig, "bands": bands})
+    return out, sorted({t[0] for t in free})
 
 
-def _scan(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("h"), "text")
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("h"), "text")
+
+
+def _scan(rows: DataFrame, width: int) -> DataFrame:
     schema = rows.select("id", "h").schema
     schema = T.StructType([*schema.fields, *T.StructType.fromDDL(FOUND).fields])
-    window = pa.struct([("e", pa.int64()), ("sig", pa.int64()), ("bands", pa.list_(pa.int64())), ("terms", pa.list_(pa.string()))])
+    window = pa.struct([("e", pa.int64()), ("sig", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in batches:
-            texts, base, counts, ents, wins = [], [], [], [], []
+            base, counts, ents, wins, held = [], [], [], [], []
             for text in b.column(2):
                 text = text.as_py()
                 spans = base_spans(text)
-                texts.append(text if spans else None)
                 base.append(joined(spans))
                 counts.append([sum(k == kind for k, *_ in spans) for kind in KINDS])
                 ents.append(sorted({entity(k, text[s:e]) for k, s, e in spans}))
-                wins.append(_windows(text, spans, width) if spans else [])
-            cols = [pa.array(texts, pa.string()), pa.array(base, pa.string()), *(pa.array(c, pa.int64()) for c in zip(*counts))] if counts else [*[pa.array([], pa.string())] * 2, *[pa.array([], pa.int64())] * 4]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array(ents, pa.list_(pa.int64())), pa.array(wins, pa.list_(window))], [f.name for f in schema])
+                own, all_ = _windows(text, spans, width) if spans else ([], [])
+                wins.append(own)
+                held.append(all_)
+            cols = [pa.array(base, pa.string()), *(pa.array(c, pa.int64()) for c in zip(*counts))] if counts else [pa.array([], pa.string()), *[pa.array([], pa.int64())] * 4]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array(ents, pa.list_(pa.int64())), pa.array(wins, pa.list_(window)), pa.array(held, pa.list_(pa.string()))], [f.name for f in schema])
 
     return rows.mapInArrow(run, schema)
 
 
 def independent(windows: DataFrame, support: int) -> DataFrame:
-    """(e, sig, terms) of the windows that are no near copy of an earlier window of their entity; the digest ranks them.
+    """(e, sig) of the windows that are no near copy of an earlier window of their entity; the digest ranks them.
 
     A window that chance takes for a copy costs itself only: links are not followed further, so an
     entity's windows cannot melt into one however many there are.
@@ -170,7 +179,11 @@ def independent(windows: DataFrame, support: int) -> DataFrame:
     keyed = some.select("e", "sig", F.posexplode("bands").alias("band", "key"))
     first = keyed.groupBy("e", "band", "key").agg(F.min("sig").alias("first"), F.max("sig").alias("last")).where("first != last")
     copies = keyed.join(first, ["e", "band", "key"]).where("sig != first").select("e", "sig").distinct()
-    return written(some.join(written(copies, "copies"), ["e", "sig"], "left_anti").select("e", "sig", "terms"), "independent")
+    return written(some.join(written(copies, "copies"), ["e", "sig"], "left_anti").select("e", "sig"), "independent")
+
+
+def _words(text_col: str) -> Column:
+    return F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), NO_TERM))).alias("t")
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str, support: int, threshold: float) -> DataFrame:
@@ -179,14 +192,18 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str, support: int, t
     Document counts are summed within each task before they are shuffled, so what moves is
     vocabularies, not words.
     """
-    windows = independent(found.select(F.explode("windows").alias("w")).select("w.*"), support)
-    sigs = windows.groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    known = written(sigs.where(F.col("n_e") >= support), "entities")
-    pairs = windows.join(known.select("e"), "e").select("e", "sig", F.explode("terms").alias("t")).groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et"))
-    pairs = written(pairs.where(F.col("n_et") >= support), "pairs")
+    windows = found.select(F.explode("windows").alias("w"), "terms").select("w.*", "terms")
+    lead = independent(windows.drop("terms"), support)
+    known = written(lead.groupBy("e").count().where(F.col("count") >= support).select("e"), "supported")
+    sizes = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
+    known = written(sizes.join(known, "e"), "entities")
+    held = windows.join(known.select("e"), "e").join(lead.withColumn("lead", F.lit(1)), ["e", "sig"], "left")
+    each = held.select("e", "sig", "lead", F.explode("terms").alias("t")).groupBy("e", "t", "sig").agg(F.count(F.lit(1)).alias("n"), F.max("lead").alias("lead"))
+    pairs = each.groupBy("e", "t").agg(F.sum("n").alias("n_et"), F.sum("lead").alias("n_lead"))
+    pairs = written(pairs.where(F.col("n_lead") >= support).select("e", "t", "n_et"), "pairs")
     total = found.count()
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), NO_TERM))).alias("t")).where(F.length("t") > 1)
-    df = words.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    df = docs.select(_words(text_col)).where(F.length("t") > 1)
+    df = df.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     df = written(df.join(written(pairs.select("t").distinct(), "terms"), "t", "left_semi"), "df")
     rated = pairs.join(df, "t").join(known, "e")
     most = F.greatest(F.col("df"), F.col("n_et")).cast("double")
@@ -200,10 +217,13 @@ def _term_spans(text: str, wanted: list[str], spans: list[tuple[str, int, int]])
     return [("term", s, e) for t, s, e in free_terms(text, spans) if t in names]
 
 
-def _revealing(docs: DataFrame, found: DataFrame, text_col: str, support: int, threshold: float) -> DataFrame:
-    """(k_id, k_h, terms) of the documents that hold disclosing terms' entities."""
-    pairs = disclosing(docs, found, text_col, support, threshold)
-    hit = found.select("id", "h", F.explode("entities").alias("e")).distinct().join(pairs, "e")
+def _revealing(rows: DataFrame, found: DataFrame, support: int, threshold: float, everywhere: bool) -> DataFrame:
+    """(k_id, k_h, terms) of the documents with disclosing terms to look for: all that hold one, or those with its entity."""
+    pairs = disclosing(rows, found, "text", support, threshold)
+    if everywhere:
+        hit = rows.select("id", "h", _words("text")).join(written(pairs.select("t").distinct(), "revealed"), "t")
+    else:
+        hit = found.select("id", "h", F.explode("entities").alias("e")).distinct().join(pairs, "e")
     return written(hit.groupBy(F.col("id").alias("k_id"), F.col("h").alias("k_h")).agg(F.sort_array(F.collect_set("t")).alias("terms")), "revealing")
 
 
@@ -211,18 +231,20 @@ def _same() -> Column:
     return F.col("id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h"))
 
 
-def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, threshold: float = THRESHOLD, everywhere: bool = False) -> DataFrame:
     """A row for each row of docs: id, n_email, n_ip, n_card, n_phone, base, spans.
 
     base and spans are comma-joined kind:start:end in code points; base holds the patterns' spans by
-    kind and start, spans those and then the disclosing terms' as kind `term`. A null or empty text
+    kind and start, spans those and then the disclosing terms' as kind `term`, looked for in every
+    document with `everywhere`, else only where their entity stands too. A null or empty text
     has none. Ids may be null or repeat; rows equal in id and text get equal spans. Other columns
     are left aside, whatever their names. An empty table gives an empty table.
     """
     check_input(docs, id_col, text_col)
-    found = written(_scan(docs, id_col, text_col, window), "found")
-    revealing = _revealing(docs, found, text_col, support, threshold)
-    rows = found.where("text is not null").select("id", "h", "text").join(revealing, _same()).select("k_id", "k_h", "text", "terms")
+    texts = _texts(docs, id_col, text_col)
+    found = written(_scan(texts, window), "found")
+    revealing = _revealing(texts, found, support, threshold, everywhere)
+    rows = texts.join(revealing, _same()).select("k_id", "k_h", "text", "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -246,11 +268,12 @@ def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, threshold: float = THRESHOLD, everywhere: bool = False) -> DataFrame:
     """docs with every span of find_personal() replaced by its kind in brackets; null texts stay null, all rows and columns stay."""
     check_input(docs, id_col, text_col)
-    found = written(_scan(docs, id_col, text_col, window), "found")
-    revealing = _revealing(docs, found, text_col, support, threshold)
+    texts = _texts(docs, id_col, text_col)
+    found = written(_scan(texts, window), "found")
+    revealing = _revealing(texts, found, support, threshold, everywhere)
     rows = docs.select(F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
     rows = rows.join(revealing, _same(), "left").select("text", "row", "terms")
 
@@ -260,7 +283,7 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             out = []
             for t, w in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
                 spans = base_spans(t) if t else []
-                out.append(replaced(t, spans + _term_spans(t, w or [], spans)) if spans else t)
+                out.append(replaced(t, spans + _term_spans(t, w or [], spans)) if spans or w else t)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column(1)], ["text", "row"])
 
     done = rows.mapInArrow(run, rows.select("text", "row").schema)

@@ -64,7 +64,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_personal(_table(spark, sf_dir, "documents"))
+    found = pii.find_personal(_table(spark, sf_dir, "documents"), everywhere=True)
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 

@@ -135,6 +135,22 @@ def test_windows_that_share_a_frequent_word_are_not_copies(docs_of):
     assert all(got[k].count("term:") == 1 for k in range(6)) and not any("term:" in got[100 + k] for k in range(12))
 
 
+def test_disclosing_terms_in_whole_documents_and_without_the_entity(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.RandomState(3)
+    filler = lambda n: " ".join(f"w{x}" for x in rng.randint(0, 400, n))
+    rows = [(k, f"Zorblat {filler(60)} zora@example.org {filler(25)}") for k in range(6)]
+    rows += [(10, "Only ZORBLAT here"), (11, "nothing here")] + [(200 + k, filler(60)) for k in range(300)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spans = {r["doc_id"]: r["spans"] for r in queries.op9_pii(spark, str(tmp_path)).collect()}
+    assert all(spans[k].endswith(",term:0:7") for k in range(6)) and spans[10] == "term:5:12"
+    assert all(not spans[i] for i, _ in rows[7:])
+    clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.personal_data(spark, docs, str(tmp_path)).collect()}
+    assert clean[10] == "Only [TERM] here" and clean[11] == "nothing here" and all(clean[k].startswith("[TERM] w") for k in range(6))
+
+
 def test_pii_edges(docs_of):
     docs = docs_of([(None, "a@b.cd"), (1, None), (2, ""), (1, "a@b.cd"), (1, "a@b.cd")])
     assert sorted(r["n_email"] for r in pii.find_personal(docs).collect()) == [0, 0, 1, 1, 1]
