@@ -4,7 +4,7 @@ A text is cut into units that cover it: lines, paragraphs (cut after blank lines
 (lines cut again after `.`, `!` or `?` and blanks). A unit is normalised (ASCII white space trimmed
 and runs of it made one space, A-Z lower-cased) and hashed to 128 bits. Digests are grouped over
 the whole corpus; a unit whose digest occurs at an earlier rank, by document id and then by place,
-is a repeat. Repeats that follow each other in a document form a run, and runs of at least
+is a repeat. Repeats that follow each other in a document form a run, across blank lines too, and runs of at least
 `min_words` words are removed, so that short phrases which many texts share by nature stay.
 
 Digests and places are shuffled, never texts. A very common unit is met by partial aggregation
@@ -39,7 +39,7 @@ def cut(text: str, ends: re.Pattern) -> list[tuple[int, int]]:
 
 
 def units(docs: DataFrame, unit: str, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, idx, start, end, words, d1, d2) for each unit with a word: h tells texts with equal ids apart, start and end count code points."""
+    """(id, h, idx, start, end, words, d1, d2) for each unit with a word, which idx numbers: h tells texts with equal ids apart, start and end count code points."""
     if unit not in ENDS:
         raise ValueError(f"unit must be one of {', '.join(ENDS)}")
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
@@ -61,12 +61,14 @@ def units(docs: DataFrame, unit: str, id_col: str, text_col: str) -> DataFrame:
 
             for k, text in enumerate(b.column(2)):
                 text = text.as_py()
-                for idx, (s, e) in enumerate(cut(text, ends)):
+                idx = 0
+                for s, e in cut(text, ends):
                     if words := text[s:e].encode().lower().split():
                         row.append(k)
                         for c, x in zip(cols, (idx, s, e, len(words))):
                             c.append(x)
                         digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                        idx += 1
                 if len(row) >= OUT_ROWS:
                     yield out()
                     row, cols, digests = [], ([], [], [], []), []

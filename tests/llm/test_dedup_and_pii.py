@@ -49,6 +49,14 @@ def test_repeats_and_removal(docs_of):
         substring_dedup.repeats(docs, "word")
 
 
+def test_blank_lines_do_not_break_runs(docs_of):
+    lines = [f"Line {k} has exactly six words." for k in range(6)]
+    docs = docs_of([(1, "Start one.\n\n" + "\n\n".join(lines) + "\n\nEnd one."), (2, "Start two.\n \n" + "\n\n\n".join(lines) + "\n\nEnd two.")])
+    for unit in ("sentence", "line", "paragraph"):
+        got = substring_dedup.repeats(docs, unit, 20).collect()
+        assert sorted((r["doc_id"], r["words"]) for r in got) == [(2, 6)] * 6 and {r["first_id"] for r in got} == {1}
+
+
 def test_free_terms():
     import random
 
