@@ -178,20 +178,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
-    """docs without near-duplicates: the row with the smallest id of each component stays.
+    """docs without near-duplicates: one row of each component stays, with its smallest id.
 
-    Rows that repeat an id stay once. Rows without an id stay only if no row of their component
+    Of its rows with that id one of those with the smallest fingerprint stays, so an id stays as
+    often as it names components. Rows without an id stay only if no row of their component
     has one, and then one of them stays.
     """
     found = written(labelled(docs, id_col, text_col, words, distance, seed), "found")
-    winners = found.where(F.col("id") == F.col("component")).groupBy("id").count()
-    winners = written(winners.select(F.col("id").alias(id_col), "count"), "winners")
+    winners = found.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("id") == F.col("component")).alias("won")).where("won")
+    winners = written(winners.select(F.col("id").alias(id_col), "rows"), "winners")
     # merged at any size: winners are most of the documents, so only a small input could broadcast them
-    single = docs.join(winners.where("count = 1").select(id_col).hint("merge"), id_col, "left_semi")
+    single = docs.join(winners.where("rows = 1").select(id_col).hint("merge"), id_col, "left_semi")
     kept = single.select(docs.columns)
-    repeated = winners.where("count > 1").select(id_col)
+    repeated = winners.where("rows > 1").select(id_col)
     if not repeated.isEmpty():
-        kept = kept.unionByName(docs.join(repeated, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns))
+        own = found.where(F.col("id") == F.col("component")).join(repeated.withColumnRenamed(id_col, "id"), "id", "left_semi")
+        chosen = written(own.groupBy("root").agg(F.min(F.struct("id", "fp")).alias("w")).select("w.id", "w.fp"), "chosen")
+        rows = docs.join(repeated, id_col, "left_semi").select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        picked = fingerprints(rows, "text", words, seed).join(chosen, ["id", "fp"], "left_semi").dropDuplicates(["id", "fp"])
+        kept = kept.unionByName(picked.select("row.*"))
     nameless = found.where("component is null").groupBy("root").agg(F.min("fp").alias("fp"))
     if not nameless.isEmpty():
         chosen = written(nameless.select("fp"), "chosen")

@@ -111,3 +111,10 @@ def test_nulls_repeats_and_one_kept(docs_of):
     same = {c for (i, f), c in comp.items() if i in (1, 3)}
     assert ids == sorted([(False, c) for c in same | {2, 5}] + [(True, 0)])
     assert simhash.near_duplicates(docs.where("false")).count() == 0 and simhash.keep_one(docs.where("false")).count() == 0
+
+
+def test_one_row_of_each_component_where_ids_repeat(docs_of):
+    text = lambda seed: " ".join(f"w{x}" for x in np.random.RandomState(seed).randint(0, 10**6, 80))
+    rows = [(1, text(1)), (1, text(2)), (2, text(2)), (0, text(3)), (4, text(3)), (4, text(4)), (0, text(3))]
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs_of(rows)).collect())
+    assert kept == sorted({rows[0], rows[1], rows[3], rows[5]})
