@@ -38,7 +38,7 @@ def _shape(block: Block) -> list[str]:
         out.append("upper")
     if any(c in text for c in "©®|»·"):
         out.append("sign")
-    if sum(map(str.isdigit, text[:200])) * 4 > min(n, 200):
+    if sum(map(str.isdigit, text)) * 4 > n:
         out.append("digits")
     return out
 

@@ -167,3 +167,9 @@ def test_zip_directory(tmp_path, monkeypatch, wide, comment):
     with pytest.raises(ValueError):
         zip_range.directory(cut, cut.size)
     cut.close()
+
+
+def test_digits_count_over_the_whole_block():
+    block = lambda text: html_extract.Block(text, (), 0)
+    assert "digits" in html_extract._shape(block("word " * 40 + "1234567890 " * 40))
+    assert "digits" not in html_extract._shape(block("1234567890 " * 18 + "word " * 200))
