@@ -23,6 +23,7 @@ from .page_samples import Pages
 
 TRAIN_PAGES, EPOCHS, SEED = 700, 6, 11
 STEPS = (2, 4, 8, 16, 32, 64, 128)
+PHRASE = frozenset(("b", "a", "em", "i", "span", "strong", "font"))
 
 
 def _shape(block: Block) -> list[str]:
@@ -46,14 +47,13 @@ def _shape(block: Block) -> list[str]:
 def features(page: list[Block]) -> list[list[str]]:
     """Active features of each block."""
     out, last = [], len(page)
-    tags = [b.path[-1][0] if b.path else "" for b in page]
+    tags = [b.inside.tag if b.inside else "" for b in page]
     shapes = [_shape(b) for b in page]
     for k, b in enumerate(page):
-        path = [t for t, _ in b.path]
-        inner = next((t for t in reversed(path) if t not in ("b", "a", "em", "i", "span", "strong", "font")), "")
+        inner = next((e.tag for e in b.inside.path() if e.tag not in PHRASE), "") if b.inside else ""
         fs = ["bias", f"in={inner}", f"tag={tags[k]}", *shapes[k], f"{inner}:{shapes[k][0]}", f"{inner}:{shapes[k][1]}"]
-        fs += {f"up={t}" for t in path}
-        fs += {f"name={x}" for _, names in b.path for x in names}
+        if b.inside:
+            fs += b.inside.features
         fs.append(f"place={min(9, 10 * k // last)}")
         fs.append(f"before={tags[k - 1] if k else '-'}")
         fs.append(f"after={tags[k + 1] if k + 1 < last else '-'}")
@@ -84,10 +84,18 @@ def model(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) -> L
 
 def main_text(html: str | None, crf: LinearChain) -> str:
     """Blocks that the model labels as the article's, joined by line feeds."""
-    page = blocks(html or "")
+    page = blocks(html or "", named_by(crf))
     return "\n".join(b.text for b, y in zip(page, crf.decode(features(page))) if y)
 
 
+def named_by(crf: LinearChain) -> frozenset[str]:
+    """The words of names that the model has weights for: no other changes a score."""
+    found = getattr(crf, "known_names", None)
+    if found is None:
+        found = crf.known_names = frozenset(f[5:] for f in crf.weights if f.startswith("name="))
+    return found
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", crf: LinearChain | None = None) -> DataFrame:
     """(id, url, text, n_chars long) for each row of pages.
 
