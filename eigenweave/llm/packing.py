@@ -6,14 +6,16 @@ its demand and the sequence's room, both as shares of the limits and weighted by
 of each kind, goes in. Work is local to a partition, with a bounded pool of waiting examples, so
 nothing is shuffled and memory does not grow with the input.
 
-Where examples may be cut, one that is longer than a sequence first gives whole sequences, and
-when nothing fits into the room that is left, the waiting example with the largest product is cut
-to fill it. The last sequence of a partition is dealt out over powers of two.
+Where examples may be cut, one that is longer than a sequence first gives whole sequences, which go
+out as they are cut; only its tail, shorter than a sequence, waits. When nothing fits into the room
+that is left, the waiting example with the largest product is cut to fill it. A sequence that ends
+short of the limit on tokens (the last of a partition, or one that another limit ends) is dealt out
+over powers of two, so that it needs no padding.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,10 +47,13 @@ class Limits:
 
 
 class Packer:
-    """Fills sequences from a pool of (key, start, tokens, loss). placed: (sequence, offset, key, start, tokens)."""
+    """Fills sequences from a pool of (key, start, tokens, loss). placed: (sequence, offset, key, start, tokens).
 
-    def __init__(self, limits: Limits, cut: bool, first: int = 0, pool: int = POOL):
-        self.limits, self.cut, self.next, self.pool = limits, cut, first, pool
+    keep(key, start) is what waits in place of a key whose ids before start are placed.
+    """
+
+    def __init__(self, limits: Limits, cut: bool, first: int = 0, pool: int = POOL, keep: Callable[[object, int], object] = lambda key, start: key):
+        self.limits, self.cut, self.next, self.pool, self.keep = limits, cut, first, pool, keep
         self.cap = np.array([limits.tokens, limits.segments, limits.loss], float)
         self.keys: list[object] = []
         self.starts: list[int] = []
@@ -66,7 +71,7 @@ class Packer:
             self.placed.append((self._open(), 0, key, start, whole))
             start += whole
         if tokens > start or tokens == 0:
-            self._wait(key, start, tokens - start, loss - start if self.cut else loss)
+            self._wait(self.keep(key, start), start, tokens - start, loss - start if self.cut else loss)
         if len(self.keys) >= 2 * self.pool - 1:
             self._fill(self.pool)
 
@@ -112,12 +117,12 @@ class Packer:
                 self.starts[k] += part
                 self.need[k, [0, 2]] -= part
                 room -= part, 1, part
-            self._close(inside, last=not self.keys)
+            self._close(inside)
 
-    def _close(self, inside: list[tuple[object, int, int]], last: bool) -> None:
+    def _close(self, inside: list[tuple[object, int, int]]) -> None:
         filled = sum(n for _, _, n in inside)
         sizes = [self.limits.tokens]
-        if last and self.cut and filled < self.limits.tokens:
+        if self.cut and filled < self.limits.tokens:
             sizes = [1 << b for b in range(filled.bit_length() - 1, -1, -1) if filled >> b & 1] or sizes
         at, left, seq = 0, sizes.pop(0), self._open()
         for key, start, n in inside:
@@ -130,13 +135,17 @@ class Packer:
             at, left = at + n, left - n
 
 
-def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: str, limits: Limits = Limits()) -> DataFrame:
+def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: str, limits: Limits = Limits(), over: str = "error") -> DataFrame:
     """Place whole examples: (id, sequence_id long, offset long, length long) for each row.
 
     Null counts are 0 tokens; an example without tokens takes a segment. An example over a limit is
-    an error. Ids may be null or repeat. sequence_id holds the partition in its upper bits.
+    an error, or with over="apart" comes back with a null sequence_id and offset, for the caller to
+    cut. Ids may be null or repeat: each row is an example. Other columns are left aside, whatever
+    their names. An empty table gives an empty table. sequence_id holds the partition in its upper bits.
     """
     check_input(examples, id_col, tokens_col, loss_col)
+    if over not in ("error", "apart"):
+        raise ValueError("over must be error or apart")
     rows = examples.select(F.col(id_col).alias("id"), F.coalesce(F.col(tokens_col), F.lit(0)).cast("long").alias("t"), F.coalesce(F.col(loss_col), F.lit(0)).cast("long").alias("l"))
     kind = rows.schema["id"].dataType
     schema = T.StructType([T.StructField(id_col, kind), *(T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "length"))])
@@ -153,7 +162,10 @@ def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: s
         for b in batches:
             type_ = b.column(0).type
             for key, t, n in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                packer.add(key, t, n)
+                if over == "apart" and (t > limits.tokens or n > limits.loss):
+                    packer.placed.append((None, None, key, 0, t))
+                else:
+                    packer.add(key, t, n)
             if packer.placed:
                 yield out()
         packer.finish()
@@ -163,14 +175,38 @@ def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: s
     return rows.mapInArrow(run, schema)
 
 
+def conversation_tokens(turns: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "conv_id", role_col: str = "role", text_col: str = "text", loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """(id, tokens long, loss long) for each conversation of turns: ids of all its turns, each with end_id, and those that bear loss.
+
+    Turns are counted where they lie and summed before the shuffle, so a very long conversation is
+    never gathered. Null and empty texts are their end id; a null role bears no loss; turns without
+    a conversation's id make one conversation of id null. Repeated rows count as often as they come.
+    """
+    check_input(turns, id_col, role_col, text_col)
+    rows = turns.select(F.col(id_col).alias("id"), F.coalesce(F.col(role_col).isin(*loss_roles), F.lit(False)).alias("bears"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    schema = rows.select("id", "bears").schema.add("n", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .tokens import encoder
+
+        encode = encoder(tokenizer).encode
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) + 1 for x in encode(b.column(2))], pa.int64())], schema.names)
+
+    total = rows.mapInArrow(run, schema).groupBy("id").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("bears"), F.col("n")).otherwise(0)).alias("loss"))
+    return total.withColumnRenamed("id", id_col)
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise texts, append end_id to each and pack the ids, cutting freely.
 
     Returns a row for each piece: id, start long (ids of its document before it), length long, ids
     binary (little-endian 32-bit), doc_tokens long, sequence_id long, offset long (in its sequence,
     without gaps from 0). Every id lies in exactly one piece. A null or empty text is its end id.
-    Ids of documents may be null or repeat: each row is a document. Other columns are left aside.
-    An empty table gives an empty table. tokenizer: path of a tokenizers JSON file.
+    Ids of documents may be null or repeat: each row is a document. Other columns are left aside,
+    whatever their names. An empty table gives an empty table. tokenizer: path of a tokenizers JSON
+    file. A worker holds the ids of one slice of an Arrow batch, at most OUT_BYTES of pieces on
+    their way out, and 2 * POOL waiting tails, each shorter than a sequence.
     """
     check_input(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -181,30 +217,43 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Lim
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder
 
-        packer, encode, type_ = Packer(limits, True, TaskContext.get().partitionId() << 40), encoder(tokenizer).encode, None
-
-        def out(least: int) -> Iterator[pa.RecordBatch]:
-            while len(packer.placed) > least:
-                size = n = 0
-                for n, x in enumerate(packer.placed, 1):
-                    size += 4 * x[4]
-                    if size >= OUT_BYTES or n >= OUT_ROWS:
-                        break
-                chunk, packer.placed = packer.placed[:n], packer.placed[n:]
-                seq, at, keys, start, length = zip(*chunk)
-                cols = [start, length, [len(ids) for _, ids in keys], seq, at]
-                ids = [ids[s : s + k].tobytes() for (_, ids), s, k in zip(keys, start, length)]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], type_), *(pa.array(c, pa.int64()) for c in cols), pa.array(ids, pa.binary())], schema.names)
-
-        end = np.array([end_id], "<u4")
-        for b in batches:
-            type_ = b.column(0).type
-            for k in range(0, b.num_rows, 2000):
-                part = b.slice(k, 2000)
-                for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1))):
-                    packer.add((key, np.concatenate((ids, end))), len(ids) + 1, len(ids) + 1)
-                yield from out(1000)
-        packer.finish()
-        yield from out(0)
+        part_id = TaskContext.get().partitionId() if TaskContext.get() else 0
+        yield from pieces_of(batches, encoder(tokenizer).encode, end_id, limits, part_id << 40, schema.names)
 
     return rows.mapInArrow(run, schema)
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch], encode: Callable[[pa.StringArray], list[np.ndarray]], end_id: int, limits: Limits, first: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """One task's work: batches of (id, text) become batches of pieces. A key is (id, ids of the document, first id held, ids)."""
+    tail = lambda key, start: (key[0], key[1], start, key[3][start - key[2] :].copy())
+    packer, type_ = Packer(limits, True, first, keep=tail), pa.null()
+
+    def out(rest: bool) -> Iterator[pa.RecordBatch]:
+        placed, packer.placed = packer.placed, []
+        at = 0
+        while at < len(placed):
+            size = n = 0
+            for n, x in enumerate(placed[at : at + OUT_ROWS], 1):
+                size += 4 * x[4]
+                if size >= OUT_BYTES:
+                    break
+            if size < OUT_BYTES and at + n == len(placed) and n < OUT_ROWS and not rest:
+                packer.placed = placed[at:]
+                return
+            seq, place, keys, start, length = zip(*placed[at : at + n])
+            ids = [k[3][s - k[2] : s - k[2] + m].tobytes() for k, s, m in zip(keys, start, length)]
+            cols = [start, length, [k[1] for k in keys], seq, place]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], type_), *(pa.array(c, pa.int64()) for c in cols), pa.array(ids, pa.binary())], names)
+            at += n
+
+    end = np.array([end_id], "<u4")
+    for b in batches:
+        type_ = b.column(0).type
+        for k in range(0, b.num_rows, 500):
+            part = b.slice(k, 500)
+            for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1))):
+                n = len(ids) + 1
+                packer.add((key, n, 0, np.concatenate((ids, end))), n, n)
+            yield from out(False)  # here, as pieces of whole sequences are views of their document's ids
+    packer.finish()
+    yield from out(True)

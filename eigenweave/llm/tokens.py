@@ -6,12 +6,15 @@ them. A word is encoded once by the library and looked up afterwards: a text is
 `w` stands for " w", a line's first word has FIRST before it, and white space of any other kind is
 found by a regular expression and has SPACE before it. A plain word (Latin letters, then
 punctuation) goes to the library's BPE model as the pre-tokenizer would cut it, others through the
-whole tokenizer.
+whole tokenizer. The strings of added tokens get those tokens' ids, as the library's default is;
+`text_specials` makes ordinary text of the special ones. Files of any other kind of tokenizer, for
+which the memo would be wrong, go through the library text by text.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import re
 
 import numpy as np
@@ -25,7 +28,7 @@ RUN = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:]*)")
 #: Distinct words remembered by one worker; bytes of texts split at once; characters of one text given to the regular expression at once.
-MEMO, CHUNK, PIECE = 400_000, 4 << 20, 1 << 20
+MEMO, CHUNK, PIECE = 200_000, 4 << 20, 1 << 20
 #: Number of a key that says: the text has other white space than single spaces and line feeds between words.
 BAD = 0
 
@@ -37,6 +40,14 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def byte_level(spec: dict) -> bool:
+    """Whether a tokenizers file is plain byte-level BPE, so that words can be encoded apart."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
+    own = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    return bool(plain and model.get("type") == "BPE" and not any(model.get(k) for k in own) and set(byte_letters().values()) <= set(model["vocab"]))
+
+
 class Memo(dict):
     """Numbers keys as they are first asked for; `new` lists those not encoded yet."""
 
@@ -53,11 +64,17 @@ class Memo(dict):
 class Encoder:
     """encode(texts) -> list of uint32 arrays. `path` names the tokenizer's JSON file."""
 
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str, memo: int = MEMO, text_specials: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = text_specials
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = [t for t in spec.get("added_tokens") or [] if not (text_specials and t["special"])]
+        self.added = {t["content"]: t["id"] for t in added}
+        self.memoable = byte_level(spec) and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.letters = byte_letters()
         self.model = self.tokenizer.model
         self.marks: dict[str, list[int]] = {"": []}
@@ -169,15 +186,36 @@ class Encoder:
             out[k] = self._slowly(texts[k].as_py())
         return out
 
+    def _around(self, text: str) -> np.ndarray:
+        """A text with strings of added tokens: what lies between them is encoded by itself."""
+        parts = self.apart.split(text)
+        between = self.encode(parts[::2])
+        out = [between[0]]
+        for content, ids in zip(parts[1::2], between[1:]):
+            out += [np.array([self.added[content]], np.uint32), ids]
+        return np.concatenate(out)
+
     def encode(self, texts: pa.StringArray | list[str]) -> list[np.ndarray]:
         """The ids of each text; none may be null."""
         column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
-        size = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)) if len(column) else np.zeros(0)
+        special = np.zeros(0, np.int64)
+        if self.memoable and self.added:
+            held = [pc.match_substring(column, t).to_numpy(zero_copy_only=False) for t in self.added]
+            special = np.flatnonzero(np.logical_or.reduce(held)) if len(column) else special
+        plain = column
+        if len(special):
+            mask = np.zeros(len(column), bool)
+            mask[special] = True
+            plain = pc.if_else(pa.array(mask), "", column)
+        size = np.cumsum(pc.binary_length(plain).to_numpy(zero_copy_only=False)) if len(column) else np.zeros(0)
         out, at = [], 0
         while at < len(column):
             to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, "right")))
-            out += self._some(column.slice(at, to - at))
+            part = plain.slice(at, to - at)
+            out += self._some(part) if self.memoable else self.whole(part.to_pylist())
             at = to
+        for k in special.tolist():
+            out[k] = self._around(column[k].as_py())
         return out
 
 
@@ -193,7 +231,7 @@ def pieces(text: str, size: int = PIECE) -> list[str]:
     return [*found, text[at:]]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def release() -> None:
@@ -203,9 +241,10 @@ def release() -> None:
         pa.default_memory_pool().release_unused()
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, text_specials: bool = False) -> Encoder:
     """The worker's own encoder of a file, kept between batches and tasks."""
-    if path not in _encoders:
+    key = (path, text_specials)
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[key] = Encoder(path, text_specials=text_specials)
+    return _encoders[key]

@@ -17,8 +17,7 @@ ODDMENTS = ["a", "B", " ", "  ", "\n", "\t", "'s", "é", "1", "23", ".", "!!", "
 def plain(tokenizer):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(tokenizer)  # the contract's call, nothing set
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -31,6 +30,28 @@ def test_encoder_equals_library(tokenizer, plain, texts, memo):
         assert [x.tolist() for x in enc.encode(batch)] == [plain(t) for t in batch]
 
 
+def test_strings_of_special_tokens(tokenizer, plain):
+    from tokenizers import Tokenizer
+
+    r = random.Random(2)
+    odd = ["".join(r.choice([*ODDMENTS, "<|endoftext|>", "<|endoftext", "|>", "<"]) for _ in range(r.randrange(20))) for _ in range(2000)]
+    assert [x.tolist() for x in Encoder(tokenizer).encode(odd)] == [plain(t) for t in odd]
+    assert Encoder(tokenizer).encode(["<|endoftext|>"])[0].tolist() == [50256]
+    t = Tokenizer.from_file(tokenizer)
+    t.encode_special_tokens = True
+    assert [x.tolist() for x in Encoder(tokenizer, text_specials=True).encode(odd)] == [t.encode(x, add_special_tokens=False).ids for x in odd]
+
+
+def test_files_of_other_tokenizers(texts):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, enc = Tokenizer.from_file(path), Encoder(path)
+    some = [x for _, x in texts[:40]] + ["", "It's <|endoftext|> a Test  ok"]
+    assert not enc.memoable and [x.tolist() for x in enc.encode(some)] == [t.encode(x, add_special_tokens=False).ids for x in some]
+
+
 def test_long_texts(tokenizer, plain):
     text = "lorem ipsum dolor, " * 9000 + "x" * 50_000 + "\n\n" + "a  b " * 5000
     assert "".join(pieces(text, 1000)) == text
@@ -106,6 +127,78 @@ def test_packing_edges(docs_of, tokenizer):
     assert packing.pack_documents(docs.where("false"), tokenizer).count() == 0
 
 
+def batches_of(docs, size):
+    import pyarrow as pa
+
+    for k in range(0, len(docs), size):
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs[k : k + size]], pa.int64()), pa.array([t for _, t in docs[k : k + size]])], ["id", "text"])
+
+
+def split_lengths(column):
+    """A stand-in for the encoder: a text names its number of ids."""
+    return [np.arange(int(t.as_py()), dtype=np.uint32) for t in column]
+
+
+def test_long_documents_keep_their_tails_only():
+    import tracemalloc
+
+    docs = [(k, str(50_000 + k % 7)) for k in range(4000)]
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+    tracemalloc.start()
+    total = 0
+    for b in packing.pieces_of(batches_of(docs, 100), split_lengths, 1, Limits(), 0, names):
+        total += sum(b.column(2).to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == sum(int(t) + 1 for _, t in docs)
+    assert peak < 120e6  # 100 documents at once are 20 MB; with whole documents waiting it was 762 MB
+
+
+def test_tiny_documents_need_no_padding():
+    r = random.Random(3)
+    docs = [(k, str(r.randint(1, 6))) for k in range(20_000)]
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+    rows = []
+    for b in packing.pieces_of(batches_of(docs, 4000), split_lengths, 1, Limits(), 0, names):
+        rows += zip(*(c.to_pylist() for c in b.columns))
+    want = {i: [*range(int(t)), 1] for i, t in docs}
+    assert check_pieces([(i, s, n, zlib.crc32(ids), d, q, at) for i, s, n, d, q, at, ids in rows], want) == 0
+
+
+def test_instruction_packing(spark, sf, plain):
+    from eigenweave.llm.queries import instruction_packing
+
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").collect()
+    tokens, loss = {}, {}
+    for r in rows:
+        n = len(plain(r["text"])) + 1
+        tokens[r["conv_id"]] = tokens.get(r["conv_id"], 0) + n
+        loss[r["conv_id"]] = loss.get(r["conv_id"], 0) + n * (r["role"] == "assistant")
+    got = instruction_packing(spark, sf).collect()
+    assert {r["conv_id"]: (r["tokens"], r["loss_tokens"]) for r in got} == {i: (n, loss[i]) for i, n in tokens.items()} and len(got) == len(tokens)
+    seqs = {}
+    for r in got:
+        if r["sequence_id"] is None:
+            assert r["tokens"] > 4096 or r["loss_tokens"] > 2048
+        else:
+            seqs.setdefault(r["sequence_id"], []).append(r)
+    for parts in seqs.values():
+        at = 0
+        for r in sorted(parts, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["tokens"]
+        assert at <= 4096 and len(parts) <= 8 and sum(r["loss_tokens"] for r in parts) <= 2048
+    edge = spark.createDataFrame([(None, "user", "a"), (None, None, "b"), (1, "assistant", None), (1, "user", "")], "conv_id long, role string, text string")
+    own = {r["conv_id"]: (r["tokens"], r["loss"]) for r in packing.conversation_tokens(edge, packing_tokenizer()).collect()}
+    assert own == {None: (4, 0), 1: (2, 1)} and packing.conversation_tokens(edge.where("false"), packing_tokenizer()).count() == 0
+
+
+def packing_tokenizer():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def test_dot_product_packing_keeps_all_limits():
     r = random.Random(5)
     limits = Limits(100, 7, 40)
@@ -150,6 +243,8 @@ def test_examples_frame(spark):
     rows = [(f"e{k}" if k % 9 else None, 1 + k % 50, k % 10) for k in range(300)]
     got = packing.pack_examples(spark.createDataFrame(rows, "id string, t int, l int"), "id", "t", "l", Limits(64, 4, 20)).collect()
     assert len(got) == 300 and sum(r["length"] for r in got) == sum(t for _, t, _ in rows)
+    apart = packing.pack_examples(spark.createDataFrame([("a", 99, 1), ("b", 9, 30), ("c", 9, 9)], "id string, t int, l int"), "id", "t", "l", Limits(64, 4, 20), over="apart").collect()
+    assert {r["id"]: (r["sequence_id"] is None, r["length"]) for r in apart} == {"a": (True, 99), "b": (True, 9), "c": (False, 9)}
     with pytest.raises(Exception, match="fits no sequence"):
         packing.pack_examples(spark.createDataFrame([("a", 99, 1)], "id string, t int, l int"), "id", "t", "l", Limits(64, 4, 20)).collect()
     for bad in ((0, 1, 1), (1, 0, 1)):
