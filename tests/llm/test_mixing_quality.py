@@ -124,20 +124,56 @@ def test_sketch_quantiles_merge(spark):
     sketch = quality.sketches(df, "lang", "source")
     for by, pick in ((["lang"], lambda g: g == 0), ([], lambda g: True)):
         q = quality.quantiles(sketch, by).where("metric = 'symbol_ratio'" + (" and lang = 'l0'" if by else "")).first()
-        x = np.array([v for g, v in rows if pick(g)]) / 10_000
-        for name, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
-            assert q[name] == pytest.approx(np.quantile(x, p, method="inverted_cdf"), rel=0.021)
+        k = np.array([v for g, v in rows if pick(g)], float)
+        x = np.maximum(0, k - 2 * np.sqrt(k)) / 10_000
+        for name, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q90", 0.9)):
+            assert q[name] == pytest.approx(np.quantile(x, p, method="inverted_cdf"), rel=0.006)
 
 
-def test_fences_adapt_and_fall_back(docs_of):
-    prose = lambda k, extra="": " ".join(f"w{k}x{j}{extra if j % 3 == 0 else ''}" for j in range(90))
-    rows = [(k, prose(k), "en", "clean") for k in range(150)]
-    rows += [(1000 + k, prose(k, "#*"), "en", "markup") for k in range(150)]  # this source's own style
-    rows += [(2000, prose(7, "#*"), "en", "clean"), (2001, prose(8, "#*"), "en", "small"), (2002, prose(9), "en", "small"), (None, prose(5), None, None), (2003, None, "en", "clean"), (2004, "", "xx", "y")]
+def prose(k, symbols=0, long=0, n=90):
+    """n words of their own, the first ones with a symbol each or longer than usual."""
+    return " ".join(f"w{k}x{j}{'#' if j < symbols else ''}{'abcdefgh' if j < long else ''}" for j in range(n))
+
+
+def test_fences_follow_opposite_habits(docs_of):
+    """What is usual in one source is rejected in the other, on either side: no fixed cutoff does that."""
+    rows = [(k, prose(k % 7, long=k % 3), "en", "short") for k in range(150)] + [(1000 + k, prose(k % 7, symbols=30 + k % 5, long=85 + k % 3), "en", "long") for k in range(150)]
+    rows += [(2000, rows[150][1], "en", "short"), (2001, rows[0][1], "en", "long"), (2002, prose(3, symbols=3), "en", "short")]
     got = {r["doc_id"]: r["kept"] for r in quality.judge(docs_of(rows)).collect()}
     assert all(got[k] for k in range(150)) and all(got[1000 + k] for k in range(150))
-    assert not got[2000] and got[2002] and got[None] and not got[2003] and not got[2004]
+    assert not got[2000] and not got[2001] and got[2002]  # three symbols don't stand out of the noise
+
+
+def test_copies_tell_no_spread(docs_of):
+    rows = [(k, prose(1), "en", "copies") for k in range(300)] + [(1000 + k, prose(k % 9, long=k % 6), "en", "copies") for k in range(40)]
+    rows += [(2000 + k, prose(k % 9, long=k % 6), "en", "other") for k in range(400)]
+    assert all(r["kept"] for r in quality.judge(docs_of(rows)).collect())
+    assert all(r["kept"] for r in quality.judge(docs_of(rows[:300])).collect())
+
+
+def test_sketches_decide(spark):
+    """On sf0.01 verdicts follow the fences: with fixed cutoffs in their place others come out, and every fence differs between groups."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stats = quality.document_stats(docs).cache()
+    rows = stats.where(~quality.base_failed()).collect()
+    kept = {r["doc_id"]: r["kept"] for r in op5_quality_rules(spark, sf).collect()}
+    fixed = lambda r: r.n_symbols <= 0.05 * r.word_chars and r.n_dup_lines <= 0.5 * r.n_lines and r.n_repeat_words <= 0.45 * r.n_words and 3 * r.n_words <= r.word_chars <= 9 * r.n_words
+    assert sum(kept[r.doc_id] != fixed(r) for r in rows) > 0 and sum(not kept[r.doc_id] for r in rows) > 20
+    fence = quality.fences(quality.sketches(stats, "lang", "source")).collect()
+    assert len({f.word_length_high for f in fence}) >= 4 and len({f.word_length_low for f in fence}) >= 4 and len({f.repeat_ratio_high for f in fence}) >= 4
+    stats.unpersist()
+
+
+def test_fences_fall_back_and_edges(docs_of):
+    rows = [(k, prose(k % 9, long=k % 4), "en", "clean") for k in range(150)]
+    rows += [(1000 + k, prose(k % 9, symbols=30 + k % 9, long=k % 4), "en", "markup") for k in range(150)]  # this source's own style
+    rows += [(2000, prose(7, symbols=30), "en", "clean"), (2001, prose(8, long=60), "en", "small"), (2002, prose(9), "en", "small"), (None, prose(5), None, None), (2003, None, "en", "clean"), (2004, "", "xx", "y"), (2002, prose(9), "en", "small")]
     docs = docs_of(rows)
+    got = Counter((r["doc_id"], r["kept"]) for r in quality.judge(docs).collect())
+    assert sum(got.values()) == len(rows)
+    assert all(got[k, True] for k in range(150)) and all(got[1000 + k, True] for k in range(150))
+    assert got[2000, False] and got[2001, False] and got[2002, True] == 2 and got[None, True] and got[2003, False] and got[2004, False]
     kept = quality.passing(docs)
-    assert kept.columns == docs.columns and kept.count() == sum(got.values())
-    assert quality.judge(docs.where("false")).count() == 0
+    assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter({i: n for (i, k), n in got.items() if k})
+    assert quality.judge(docs.where("false")).count() == 0 and quality.passing(docs.where("false")).count() == 0
