@@ -1,20 +1,25 @@
 """Personal data: fixed patterns, and terms that give protected entities away by co-occurrence.
 
-Patterns find e-mail addresses, IP addresses, card and phone numbers; their values are the protected
-entities. Corpus counts then measure what other words disclose (information-theoretic sanitisation):
-with p from document counts, a term t discloses an entity e by PMI(e; t) = log p(e, t) / (p(e) p(t))
-of the IC(e) = -log p(e) bits that the entity carries. A term is a disclosing one if PMI reaches a share
-`threshold` of IC, that is, if seeing it comes close to seeing the entity; such terms are found
+Patterns find e-mail addresses, IP addresses, card and phone numbers. What is protected is an entity
+at three levels: the value itself, the group it belongs to (an address's domain, the first half of an
+IP address, a card's issuer, a phone's country) and its kind; a value that stands in one document
+only has no corpus to measure, its domain or kind has. Corpus counts then measure what other words
+disclose (information-theoretic sanitisation): with p from document counts, a term t discloses an
+entity e by PMI(e; t) = log p(e, t) / (p(e) p(t)) of the IC(e) = -log p(e) that the entity carries. A
+term is a disclosing one if PMI reaches a share `threshold` of IC, that is, if seeing it comes close
+to seeing the entity, and if chance is ruled out: were t spread over documents without regard to e,
+n(e, t) of its n(t) documents or more would hold e with a probability below exp(-n(t) KL), KL the
+divergence of n(e, t) / n(t) from p(e), and n(t) KL must reach SURPRISE. Such terms are found
 besides the pattern spans and generalised like these: with `everywhere` in every document that holds
 them, else in those with the entity itself.
 
-p(e), p(t) and p(e, t) are shares of whole documents. Copies and near copies of a passage would
-make each of its words a certain sign of its entity; so the terms around an entity in a document
-make a window, a window counts unless it is a near copy of one of its entity that ranks earlier, and
-an entity or a pair needs documents of `support` such windows. Near
-copies share all ROWS min-hashes of one of BANDS bands: at a Jaccard similarity of 0.06 a pair does
-so with a chance of 4e-9, at 0.8 of 0.99. All counts are over all documents; no group is gathered,
-no pair of windows is a row, and only pairs of supported entities are expanded.
+Documents are the one unit of all counts. Copies and near copies of a passage would make each of its
+words a certain sign of its entity; so the terms around an entity in a document make a window, a
+document is evidence unless its window is a near copy of one of that entity that ranks earlier, and
+an entity or a pair needs `support` documents of evidence. Near copies share all ROWS min-hashes of
+one of BANDS bands: at a Jaccard similarity of 0.06 a pair does so with a chance of 4e-9, at 0.8 of
+0.99. All counts are over all documents; no group is gathered, no pair of windows is a row, and only
+pairs of supported entities are expanded.
 """
 
 from __future__ import annotations
@@ -43,6 +48,8 @@ IN_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345
 #: Terms are runs of letters and digits, the same for both engines.
 TERM, NO_TERM = re.compile(r"[^\W_]+"), r"[^\p{L}\p{N}]+"
 WINDOW, SUPPORT, THRESHOLD = 20, 3, 0.9
+#: Nats: a pair that chance makes with a probability over 1e-9 is no evidence.
+SURPRISE = 20.7
 BANDS, ROWS = 24, 8
 _FACTORS, _MASKS, _MIX = (np.random.RandomState(k).randint(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1) for k in range(3))
 
@@ -84,15 +91,26 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def entity(kind: str, value: str) -> int:
-    """64-bit key of an entity: case and separators don't tell entities apart."""
-    plain = value.lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", value)
-    return xxhash.xxh64_intdigest(f"{kind}:{plain}".encode()) - (1 << 63)
+def entities(kind: str, value: str) -> list[int]:
+    """64-bit keys of a value, its group and its kind. Case and separators don't tell entities apart."""
+    if kind in ("email", "ip"):
+        plain = value.lower()
+        group = plain.rpartition("@")[2] if kind == "email" else ".".join(plain.split(".")[:2])
+    else:
+        plain = re.sub("[^0-9]", "", value)
+        group = plain[:6] if kind == "card" else re.match(r"\+([0-9]{1,3})", value)[1]
+    names = (f"{kind}:{plain}", f"{kind}/{group}", kind)
+    return [xxhash.xxh64_intdigest(x.encode()) - (1 << 63) for x in names]
+
+
+def lowered(text: str) -> str:
+    """text in lower case, as long as it was: U+0130 is the one letter that would become two."""
+    return text.replace("\u0130", "i").lower()
 
 
 def terms(text: str) -> list[tuple[str, int, int]]:
     """(term, start, end): runs of two letters or digits or more, in lower case."""
-    return [(m.group().lower(), *m.span()) for m in TERM.finditer(text) if m.end() - m.start() > 1]
+    return [(m.group(), *m.span()) for m in TERM.finditer(lowered(text)) if m.end() - m.start() > 1]
 
 
 def free_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -125,13 +143,15 @@ def signature(near: list[str]) -> tuple[int, list[int]]:
 
 
 def _windows(text: str, spans: list[tuple[str, int, int]], width: int) -> tuple[list[dict], list[str]]:
-    """One window for each entity, of the terms around all of its places; and all terms of the text."""
+    """One window for each entity at each level, of the terms around all of its places; and all terms of the text."""
     free = free_terms(text, spans)
     starts = [t[1] for t in free]
     near: dict[int, set[str]] = {}
     for kind, s, e in spans:
         k = bisect_left(starts, s)
-        near.setdefault(entity(kind, text[s:e]), set()).update(t[0] for t in free[max(0, k - width) : k + width])
+        around = [t[0] for t in free[max(0, k - width) : k + width]]
+        for key in entities(kind, text[s:e]):
+            near.setdefault(key, set()).update(around)
     out = []
     for e, found in near.items():
         if found:
@@ -158,7 +178,7 @@ def _scan(rows: DataFrame, width: int) -> DataFrame:
                 spans = base_spans(text)
                 base.append(joined(spans))
                 counts.append([sum(k == kind for k, *_ in spans) for kind in KINDS])
-                ents.append(sorted({entity(k, text[s:e]) for k, s, e in spans}))
+                ents.append(sorted({key for k, s, e in spans for key in entities(k, text[s:e])}))
                 own, all_ = _windows(text, spans, width) if spans else ([], [])
                 wins.append(own)
                 held.append(all_)
@@ -183,33 +203,40 @@ def independent(windows: DataFrame, support: int) -> DataFrame:
 
 
 def _words(text_col: str) -> Column:
-    return F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), NO_TERM))).alias("t")
+    """The terms of a text, each once."""
+    return F.explode(F.array_distinct(F.split(F.lower(F.translate(F.col(text_col), "\u0130", "i")), NO_TERM))).alias("t")
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str, support: int, threshold: float) -> DataFrame:
-    """(e, t, share): terms whose PMI with an entity reaches the threshold's share of its information.
+    """(e, t, share): terms whose PMI with an entity reaches the threshold's share of its information, chance ruled out.
 
-    Document counts are summed within each task before they are shuffled, so what moves is
-    vocabularies, not words.
+    Counts are summed within each task before they are shuffled, so what moves is vocabularies, not
+    words.
     """
-    windows = found.select(F.explode("windows").alias("w"), "terms").select("w.*", "terms")
-    lead = independent(windows.drop("terms"), support)
-    known = written(lead.groupBy("e").count().where(F.col("count") >= support).select("e"), "supported")
+    windows = found.select("h", F.explode("windows").alias("w"), "terms").select("h", "w.*", "terms")
+    lead = independent(windows, support)
+    known = written(lead.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("e"), "supported")
     sizes = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
     known = written(sizes.join(known, "e"), "entities")
-    held = windows.join(known.select("e"), "e").join(lead.withColumn("lead", F.lit(1)), ["e", "sig"], "left")
-    each = held.select("e", "sig", "lead", F.explode("terms").alias("t")).groupBy("e", "t", "sig").agg(F.count(F.lit(1)).alias("n"), F.max("lead").alias("lead"))
-    pairs = each.groupBy("e", "t").agg(F.sum("n").alias("n_et"), F.sum("lead").alias("n_lead"))
-    pairs = written(pairs.where(F.col("n_lead") >= support).select("e", "t", "n_et"), "pairs")
+    held = windows.drop("bands").join(known.select("e"), "e")
+    evidence = held.join(lead, ["e", "sig"], "left_semi").groupBy("e", "sig").agg(F.min_by("terms", "h").alias("terms"))
+    each = held.select("e", F.explode("terms").alias("t"), F.lit(1).alias("n"), F.lit(0).alias("lead"))
+    each = each.unionByName(evidence.select("e", F.explode("terms").alias("t"), F.lit(0).alias("n"), F.lit(1).alias("lead")))
+    pairs = each.groupBy("e", "t").agg(F.sum("n").alias("n_et"), F.sum("lead").alias("n_lead")).where(F.col("n_lead") >= support)
     total = found.count()
+    least = F.log(F.lit(float(max(total, 1))) / F.col("n_e"))  # IC(e); a term that stands with e alone surprises by n_et times that
+    pairs = pairs.join(known, "e").where(F.col("n_et") * least >= SURPRISE)
+    pairs = written(pairs.select("e", "t", "n_et", "n_e"), "pairs")
+    if pairs.isEmpty():
+        return pairs.select("e", "t", F.lit(1.0).alias("share"))
     df = docs.select(_words(text_col)).where(F.length("t") > 1)
     df = df.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     df = written(df.join(written(pairs.select("t").distinct(), "terms"), "t", "left_semi"), "df")
-    rated = pairs.join(df, "t").join(known, "e")
-    most = F.greatest(F.col("df"), F.col("n_et")).cast("double")
-    pmi = F.log(F.col("n_et") * total / (F.col("n_e") * most))
-    share = F.when(F.col("n_e") < total, pmi / F.log(total / F.col("n_e"))).otherwise(0.0)
-    return written(rated.select("e", "t", share.alias("share")).where(F.col("share") >= threshold), "disclosing")
+    p, n = F.col("n_e") / F.lit(float(total)), F.greatest(F.col("df"), F.col("n_et")).cast("double")
+    q = F.col("n_et") / n
+    chance = n * (q * F.log(q / p) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0))
+    rated = pairs.join(df, "t").where("n_e < %d" % total).where(q > p).select("e", "t", (F.log(q / p) / -F.log(p)).alias("share"), chance.alias("chance"))
+    return written(rated.where((F.col("share") >= threshold) & (F.col("chance") >= SURPRISE)).drop("chance"), "disclosing")
 
 
 def _term_spans(text: str, wanted: list[str], spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -220,6 +247,8 @@ def _term_spans(text: str, wanted: list[str], spans: list[tuple[str, int, int]])
 def _revealing(rows: DataFrame, found: DataFrame, support: int, threshold: float, everywhere: bool) -> DataFrame:
     """(k_id, k_h, terms) of the documents with disclosing terms to look for: all that hold one, or those with its entity."""
     pairs = disclosing(rows, found, "text", support, threshold)
+    if pairs.isEmpty():
+        return rows.select(F.col("id").alias("k_id"), F.col("h").alias("k_h"), F.array().cast("array<string>").alias("terms")).where("false")
     if everywhere:
         hit = rows.select("id", "h", _words("text")).join(written(pairs.select("t").distinct(), "revealed"), "t")
     else:
