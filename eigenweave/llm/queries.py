@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embed_dedup, html_extract, mixing, packing, pii, quality, simhash, substring_dedup, token_files, warc
-from .common import scratch
+from .common import scratch, written
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -24,9 +24,12 @@ def _hex(c: str) -> Column:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences to remove, in runs of 20 words or more that stand earlier in the corpus: one row for each."""
-    found = substring_dedup.repeats(_table(spark, sf_dir, "documents"), unit="sentence", min_words=20)
-    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("words").cast("long").alias("n_words"), F.col("first_id").alias("first_doc_id"), F.col("first_start").cast("long").alias("first_start"))
+    """Lines that stand earlier in the corpus, of any length, and sentences in repeated runs of 20 words or more: a row for each to remove.
+
+    Null and empty texts have none; nulls, ties and repeated rows as in substring_dedup.repeats.
+    """
+    found = substring_dedup.repeats(_table(spark, sf_dir, "documents"), unit="line", min_words=1, passages=20)
+    return found.select("doc_id", "unit", *(F.col(c).cast("long").alias(c) for c in ("start", "end")), F.col("words").cast("long").alias("n_words"), F.col("first_id").alias("first_doc_id"), F.col("first_start").cast("long").alias("first_start"))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +41,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 on instruction data: whole conversations in sequences of at most 4096 tokens, 8 segments and 2048 tokens of assistant turns.
+
+    A row for each conversation; one over a limit has a null sequence_id and offset.
+    """
+    sizes = written(packing.conversation_tokens(_table(spark, sf_dir, "conversations"), tokenizer_path()), "conversations")
+    key = F.struct("conv_id", "tokens", "loss").alias("key")
+    placed = packing.pack_examples(sizes.select(key, "tokens", "loss"), "key", "tokens", "loss", packing.Limits(4096, 8, 2048), over="apart")
+    return placed.select("key.conv_id", "key.tokens", F.col("key.loss").alias("loss_tokens"), "sequence_id", "offset")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -73,26 +87,31 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_html_extraction, op3_packing, op4_source_mixing, op5_quality_rules, op6_token_files, op7_warc, op8_simhash, op9_pii, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_html_extraction, op3_packing, op4_source_mixing, op5_quality_rules, op6_token_files, op7_warc, op8_simhash, op9_pii, op10_embedding_dedup, instruction_packing)}
 
 
-#: Units are cut where a sentence or line ends; a row number in the run of repeats tells runs apart.
+#: Sentences of lines, and lines of several sentences beside them; a row number among a document's repeats tells runs apart.
 OP1_SQL = r"""
-WITH cut AS (
-  SELECT doc_id, string_split(regexp_replace(text, '([.!?]+[ \t]+|\n)', '\1' || chr(1), 'g'), chr(1)) AS u FROM documents WHERE text IS NOT NULL),
-unit AS (SELECT doc_id, unnest(u) AS t, unnest(range(len(u))) AS idx FROM cut),
-placed AS (
-  SELECT doc_id, idx, length(t) AS n, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY idx) AS stop,
-    translate(trim(regexp_replace(t, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM unit),
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+line AS (SELECT doc_id, unnest(list_transform(l, lambda x, i: CASE WHEN i < len(l) THEN x || chr(10) ELSE x END)) AS t, unnest(range(len(l))) AS ln FROM cut),
+line_at AS (SELECT *, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY ln) - length(t) AS l0 FROM line),
+part AS (SELECT doc_id, ln, l0, length(t) AS ll, string_split(regexp_replace(t, '([.!?]+[ \t]+)', '\1' || chr(1), 'g'), chr(1)) AS p, t FROM line_at),
+sent AS (SELECT doc_id, ln, l0, ll, unnest(p) AS t, unnest(range(len(p))) AS k FROM part),
+sent_at AS (SELECT *, l0 + sum(length(t)) OVER (PARTITION BY doc_id, ln ORDER BY k) - length(t) AS s0 FROM sent),
+normal AS (
+  SELECT doc_id, ln, l0, ll, s0, length(t) AS n, translate(trim(regexp_replace(t, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM sent_at),
+worded AS (SELECT *, count(*) OVER (PARTITION BY doc_id, ln) AS many, row_number() OVER (PARTITION BY doc_id ORDER BY s0) AS idx FROM normal WHERE w <> ''),
+unit AS (
+  SELECT doc_id, ln, idx, many = 1 AS whole, CASE WHEN many = 1 THEN l0 ELSE s0 END AS start, CASE WHEN many = 1 THEN l0 + ll ELSE s0 + n END AS stop, w FROM worded
+  UNION ALL SELECT doc_id, ln, NULL, true, any_value(l0), any_value(l0 + ll), string_agg(w, ' ' ORDER BY idx) FROM worded WHERE many > 1 GROUP BY doc_id, ln),
 ranked AS (
-  SELECT doc_id, idx, stop - n AS start, stop, len(string_split(w, ' ')) AS words,
-    first_value(doc_id) OVER f AS first_id, first_value(idx) OVER f AS first_idx, first_value(stop - n) OVER f AS first_start
-  FROM placed WHERE w <> '' WINDOW f AS (PARTITION BY w ORDER BY doc_id, idx)),
+  SELECT *, len(string_split(w, ' ')) AS words, row_number() OVER f AS place, first_value(doc_id) OVER f AS first_id, first_value(start) OVER f AS first_start
+  FROM unit WINDOW f AS (PARTITION BY w ORDER BY doc_id, start, idx IS NULL)),
 later AS (
-  SELECT *, idx - row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM ranked WHERE (doc_id, idx) <> (first_id, first_idx)),
+  SELECT *, CASE WHEN idx IS NOT NULL THEN idx - row_number() OVER (PARTITION BY doc_id, idx IS NULL ORDER BY idx) END AS run, bool_or(idx IS NULL) OVER (PARTITION BY doc_id, ln) AS inside FROM ranked WHERE place > 1),
 runs AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS together FROM later)
-SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end", CAST(words AS BIGINT) AS n_words,
-  first_id AS first_doc_id, CAST(first_start AS BIGINT) AS first_start FROM runs WHERE together >= 20
+SELECT doc_id, CASE WHEN whole THEN 'line' ELSE 'sentence' END AS unit, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end", CAST(words AS BIGINT) AS n_words,
+  first_id AS first_doc_id, CAST(first_start AS BIGINT) AS first_start FROM runs WHERE whole OR together >= 20 AND NOT inside
 """
 
 
@@ -107,27 +126,31 @@ rep AS (SELECT k, count(DISTINCT i + j) AS n_repeat_words FROM win, range(3) r(j
 s AS (
   SELECT k, doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (k)),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
 m AS (
-  SELECT k, lang, source, n_words, unnest(['symbol_ratio', 'dup_line_ratio', 'repeat_ratio', 'word_length']) AS metric,
-    unnest([CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END]) AS v FROM s),
-b AS (SELECT *, CASE WHEN v < 1e-4 THEN -1073741824 ELSE floor(ln(v) / ln(1.02)) END AS bucket FROM m WHERE n_words > 0),
+  SELECT k, lang, source, unnest(['symbol_ratio', 'dup_line_ratio', 'repeat_ratio', 'word_length']) AS metric,
+    unnest([greatest(0, n_symbols - 2 * sqrt(n_symbols)) / word_chars, greatest(0, n_dup_lines - 2 * sqrt(n_dup_lines)) / n_lines, greatest(0, n_repeat_words - 2 * sqrt(n_repeat_words)) / n_words, word_chars / n_words]) AS v
+  FROM j WHERE NOT base_failed),
+b AS (SELECT *, CASE WHEN v < 1e-4 THEN -1073741824 ELSE floor(ln(v) / ln(1.005)) END AS bucket FROM m),
 r AS (
   SELECT *, row_number() OVER own AS r1, count(*) OVER (PARTITION BY lang, source, metric) AS c1, row_number() OVER mid AS r2, count(*) OVER (PARTITION BY lang, metric) AS c2, row_number() OVER top AS r3, count(*) OVER (PARTITION BY metric) AS c3
   FROM b WINDOW own AS (PARTITION BY lang, source, metric ORDER BY bucket), mid AS (PARTITION BY lang, metric ORDER BY bucket), top AS (PARTITION BY metric ORDER BY bucket)),
-q1 AS (SELECT lang, source, metric, max(c1) AS c, min(bucket) FILTER (WHERE r1 >= .25 * c1) AS a, min(bucket) FILTER (WHERE r1 >= .5 * c1) AS m, min(bucket) FILTER (WHERE r1 >= .75 * c1) AS z FROM r GROUP BY ALL),
-q2 AS (SELECT lang, metric, max(c2) AS c, min(bucket) FILTER (WHERE r2 >= .25 * c2) AS a, min(bucket) FILTER (WHERE r2 >= .5 * c2) AS m, min(bucket) FILTER (WHERE r2 >= .75 * c2) AS z FROM r GROUP BY ALL),
-q3 AS (SELECT metric, min(bucket) FILTER (WHERE r3 >= .25 * c3) AS a, min(bucket) FILTER (WHERE r3 >= .5 * c3) AS m, min(bucket) FILTER (WHERE r3 >= .75 * c3) AS z FROM r GROUP BY ALL),
+u AS (
+  SELECT 1 AS lv, lang, source, metric, r1 AS r, c1 AS c, bucket FROM r UNION ALL SELECT 2, lang, NULL, metric, r2, c2, bucket FROM r UNION ALL SELECT 3, NULL, NULL, metric, r3, c3, bucket FROM r),
 q AS (
-  SELECT q1.lang, q1.source, q1.metric, CASE WHEN q1.c >= 100 THEN q1.a WHEN q2.c >= 100 THEN q2.a ELSE q3.a END AS a, CASE WHEN q1.c >= 100 THEN q1.m WHEN q2.c >= 100 THEN q2.m ELSE q3.m END AS m, CASE WHEN q1.c >= 100 THEN q1.z WHEN q2.c >= 100 THEN q2.z ELSE q3.z END AS z
-  FROM q1 JOIN q2 ON q1.metric = q2.metric AND q1.lang IS NOT DISTINCT FROM q2.lang JOIN q3 ON q1.metric = q3.metric),
+  SELECT lv, lang, source, metric, max(c) AS c, min(bucket) FILTER (WHERE 100 * r >= 25 * c) AS a, min(bucket) FILTER (WHERE 100 * r >= 50 * c) AS m, min(bucket) FILTER (WHERE 100 * r >= 75 * c) AS z, min(bucket) FILTER (WHERE 100 * r >= 90 * c) AS t
+  FROM u GROUP BY ALL),
+x AS (
+  SELECT lv, lang, source, metric, c, CASE WHEN a < -1e9 THEN 0 ELSE 1.005 ** (a + .5) END AS a, CASE WHEN m < -1e9 THEN 0 ELSE 1.005 ** (m + .5) END AS m, CASE WHEN z < -1e9 THEN 0 ELSE 1.005 ** (z + .5) END AS z, CASE WHEN t < -1e9 THEN 0 ELSE 1.005 ** (t + .5) END AS t FROM q),
 f AS (
-  SELECT lang, source, metric, CASE WHEN a < -1e9 THEN 0 ELSE 1.02 ** (a + .5) END AS a, CASE WHEN m < -1e9 THEN 0 ELSE 1.02 ** (m + .5) END AS m, CASE WHEN z < -1e9 THEN 0 ELSE 1.02 ** (z + .5) END AS z FROM q),
+  SELECT lv, lang, source, metric, CASE WHEN lv < 3 AND c < 100 THEN NULL WHEN metric <> 'word_length' THEN m + 16 * (t - m) WHEN a < m THEN m + 8 * (m - a) END AS high,
+    CASE WHEN lv < 3 AND c < 100 THEN NULL WHEN metric = 'word_length' AND z > m THEN m - 8 * (z - m) END AS low FROM x),
 ok AS (
-  SELECT k, bool_and(v <= greatest(f.m + 8 * (f.m - f.a), CASE b.metric WHEN 'symbol_ratio' THEN .05 WHEN 'dup_line_ratio' THEN .5 WHEN 'repeat_ratio' THEN .45 ELSE 9 END)
-    AND (b.metric <> 'word_length' OR v >= least(f.m - 8 * (f.z - f.m), 3))) AS inside
-  FROM b JOIN f ON b.metric = f.metric AND b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source GROUP BY k),
-t AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s LEFT JOIN ok USING (k))
-SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, false) AS kept FROM t
+  SELECT k, bool_and(v <= coalesce(f1.high, f2.high, f3.high, 'inf'::DOUBLE) AND v >= coalesce(f1.low, f2.low, f3.low, 0)) AS inside
+  FROM b JOIN f f1 ON f1.lv = 1 AND b.metric = f1.metric AND b.lang IS NOT DISTINCT FROM f1.lang AND b.source IS NOT DISTINCT FROM f1.source
+  JOIN f f2 ON f2.lv = 2 AND b.metric = f2.metric AND b.lang IS NOT DISTINCT FROM f2.lang JOIN f f3 ON f3.lv = 3 AND b.metric = f3.metric GROUP BY k)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  base_failed, NOT base_failed AND coalesce(inside, false) AS kept FROM j LEFT JOIN ok USING (k)
 """
 
 OP7_SQL = """

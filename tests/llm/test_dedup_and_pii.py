@@ -26,35 +26,97 @@ def test_units_cover_the_text(unit, want):
     assert got == (["a. b\n\n ", "c"] if unit == "paragraph" else want)
 
 
-def test_repeats_and_removal(docs_of):
-    passage = "The Quick brown fox. " * 1 + "It jumps over one lazy dog today! Then it rests under an old oak tree for hours."
-    rows = [(5, f"Own start here. {passage} Ends five. Own end."), (2, f"{passage.upper().lower()} Tail of two."), (9, f"Nine begins.\n{passage}\nshort. Own end."), (None, f"{passage}"), (7, None), (8, ""), (3, "Own end."), (3, "Own end.")]
+def brute_repeats(rows, passages=20):
+    """(doc_id, unit, start, end, first_doc_id, first_start) by definition, for rows with ids that don't repeat."""
+    found = []
+    for i, text in sorted(rows):
+        at, idx = 0, 0
+        for ln, line in enumerate((text or "").split("\n")):
+            line += "\n" if at + len(line) < len(text or "") else ""
+            parts, k = [], 0
+            for piece in re.findall(r".*?(?:[.!?]+[ \t]+|\n|$)", line, re.S):
+                if piece.split():
+                    parts.append((at + k, at + k + len(piece), " ".join(piece.lower().split())))
+                k += len(piece)
+            if len(parts) == 1:
+                found.append((i, ln, idx, True, at, at + len(line), parts[0][2]))
+            elif parts:
+                found += [(i, ln, idx + j, False, *p) for j, p in enumerate(parts)]
+                found.append((i, ln, None, True, at, at + len(line), " ".join(p[2] for p in parts)))
+            idx += len(parts)
+            at += len(line)
+    first, later = {}, []
+    for u in found:
+        if u[6] in first:
+            later.append((*u, *first[u[6]]))
+        else:
+            first[u[6]] = (u[0], u[4])
+    gone = {(u[0], u[1]) for u in later if u[2] is None}
+    runs, at = {}, {}
+    for u in later:
+        if u[2] is not None:
+            at[u[0]] = at.get(u[0], -1) + 1
+            runs.setdefault((u[0], u[2] - at[u[0]]), []).append(u)
+    out = [(u[0], "line", u[4], u[5], u[7], u[8]) for u in later if u[3]]
+    for run in runs.values():
+        if sum(len(u[6].split()) for u in run) >= passages:
+            out += [(u[0], "sentence", u[4], u[5], u[7], u[8]) for u in run if not u[3] and (u[0], u[1]) not in gone]
+    return sorted(out)
+
+
+def test_substring_query_equals_brute_force(spark, sf, texts):
+    got = sorted((r["doc_id"], r["unit"], r["start"], r["end"], r["first_doc_id"], r["first_start"]) for r in queries.op1_substring_dedup(spark, sf).collect())
+    assert got == brute_repeats(texts) and {r[1] for r in got} == {"line", "sentence"}
+
+
+def test_every_repeated_line_goes(docs_of):
+    docs = docs_of([(1, "Six words in this short line.\nOwn one."), (2, "Own two.\n  six WORDS in this  short line. \nEnd"), (3, "Six words in this short line. And more on the line."), (4, "End")])
+    got = sorted((r["doc_id"], r["start"], r["end"], r["first_id"], r["first_start"]) for r in substring_dedup.repeats(docs).collect())
+    assert got == [(2, 9, 43, 1, 0), (4, 0, 3, 2, 43)]
+    assert substring_dedup.repeats(docs, min_words=6).count() == 1
+    assert sorted(r["doc_id"] for r in substring_dedup.repeats(docs, "sentence").collect()) == [2, 3, 4]
+    assert {r["doc_id"] for r in substring_dedup.repeats(docs, passages=20).collect()} == {2, 4}
+
+
+def test_passages_inside_lines(docs_of):
+    passage = "The quick brown fox runs. It jumps over one lazy dog today! Then it rests under an old oak tree for hours."
+    rows = [(1, f"Start of one. {passage} End of one."), (2, f"Start of two. {passage} End of two."), (3, f"{passage}"), (4, "Start of four. It jumps over one lazy dog today! End of four."), (5, f"Start of one. {passage} End of one.\nMore.")]
+    got = [(r["doc_id"], r["unit"], r["start"], r["end"]) for r in substring_dedup.repeats(docs_of(rows), passages=20).collect()]
+    text = dict(rows)
+    assert sorted({(i, u) for i, u, *_ in got}) == [(2, "sentence"), (3, "sentence"), (5, "line")]
+    assert [text[5][s:e] for i, _, s, e in got if i == 5] == [f"Start of one. {passage} End of one.\n"]  # the line once, not its sentences too
+    assert "".join(text[2][s:e] for _, s, e in sorted((i, s, e) for i, _, s, e in got if i == 2)) == passage + " "
+    cut = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(docs_of(rows), passages=20).collect()}
+    assert cut == {1: text[1], 2: "Start of two. End of two.", 3: "", 4: text[4], 5: "More."}
+    assert sorted((r["doc_id"], r["unit"], r["start"], r["end"], r["first_id"], r["first_start"]) for r in substring_dedup.repeats(docs_of(rows), passages=20).collect()) == brute_repeats(rows)
+
+
+def test_repeats_edges(docs_of, spark):
+    rows = [(5, "A line.\nOwn end."), (None, "A line."), (7, None), (8, ""), (9, " \n\t"), (3, "Own end."), (3, "Own end."), (2, "x " * 60_000 + "\nA line.")]
     docs = docs_of(rows)
-    got = substring_dedup.repeats(docs, min_words=10).collect()
-    by_doc = {}
-    for r in got:
-        by_doc.setdefault(r["doc_id"], []).append(r)
-        assert r["first_id"] == 2
-    assert set(by_doc) == {5, 9, None}
-    for r in by_doc[5]:
-        assert rows[0][1][r["start"] : r["end"]].strip().lower() in passage.lower()
-    cut = {r["doc_id"]: r for r in substring_dedup.without_repeats(docs, min_words=10).collect() if r["doc_id"] in (5, 9, 2, None)}
-    assert cut[5]["text"] == "Own start here. Ends five. Own end." and cut[2]["text"] == rows[1][1] and cut[9]["text"] == "Nine begins.\nshort. Own end."
-    assert cut[None]["text"] == "" and [tuple(x) for x in cut[5]["removed"]] == [(r["start"], r["end"]) for r in sorted(by_doc[5], key=lambda r: r["start"])]
-    assert substring_dedup.without_repeats(docs, min_words=10).columns == [*docs.columns, "removed"]
-    assert {r["doc_id"] for r in substring_dedup.repeats(docs, "line", 1).collect()} == {None}  # its text is a line of 9
-    assert substring_dedup.repeats(docs, min_words=1).where("words = 2").count() == 2  # "Own end." of 5 and 9, not of the equal rows
-    assert substring_dedup.repeats(docs.where("false")).count() == 0
+    got = sorted(((r["doc_id"], r["start"], r["first_id"]) for r in substring_dedup.repeats(docs).collect()), key=str)
+    assert got == [(5, 0, 2), (5, 8, 3), (None, 0, 2)]  # equal rows stay together
+    out = substring_dedup.without_repeats(docs)
+    assert out.columns == [*docs.columns, "removed"] and out.count() == len(rows)
+    cut = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert cut[5] == "" and cut[None] == "" and cut[7] is None and cut[8] == "" and cut[9] == " \n\t" and cut[3] == "Own end." and len(cut[2]) == 120_008
+    assert substring_dedup.repeats(docs.where("false")).count() == 0 and substring_dedup.without_repeats(docs.where("false")).count() == 0
+    odd = spark.createDataFrame([(1, "a b\nc", "x", 5, 6, 7), (2, "a b", "y", 5, 6, 7)], "doc_id long, text string, __hash string, __id int, id int, h int")
+    assert sorted((r["doc_id"], r["text"], r["__hash"], r["__id"], r["id"], r["h"]) for r in substring_dedup.without_repeats(odd).collect()) == [(1, "a b\nc", "x", 5, 6, 7), (2, "", "y", 5, 6, 7)]
     with pytest.raises(ValueError):
         substring_dedup.repeats(docs, "word")
+    with pytest.raises(ValueError):
+        substring_dedup.without_repeats(odd.withColumn("removed", odd.h))
 
 
 def test_blank_lines_do_not_break_runs(docs_of):
     lines = [f"Line {k} has exactly six words." for k in range(6)]
-    docs = docs_of([(1, "Start one.\n\n" + "\n\n".join(lines) + "\n\nEnd one."), (2, "Start two.\n \n" + "\n\n\n".join(lines) + "\n\nEnd two.")])
-    for unit in ("sentence", "line", "paragraph"):
-        got = substring_dedup.repeats(docs, unit, 20).collect()
-        assert sorted((r["doc_id"], r["words"]) for r in got) == [(2, 6)] * 6 and {r["first_id"] for r in got} == {1}
+    docs = docs_of([(1, "\n\n".join(lines)), (2, "Two.\n\n" + "\n\n \n".join(lines))])
+    for unit in ("line", "paragraph"):
+        assert sorted((r["doc_id"], r["words"]) for r in substring_dedup.repeats(docs, unit).collect()) == [(2, 6)] * 6
+    docs = docs_of([(1, " ".join(lines)), (2, f"New here. {lines[0]}\n \n\n{lines[1]} New there. {lines[2]}")])
+    got = substring_dedup.repeats(docs, "line", passages=12).collect()
+    assert sorted((r["doc_id"], r["unit"], r["words"]) for r in got) == [(2, "sentence", 6)] * 2
 
 
 def test_free_terms():
@@ -159,6 +221,97 @@ def test_disclosing_terms_in_whole_documents_and_without_the_entity(spark, tmp_p
     assert clean[10] == "Only [TERM] here" and clean[11] == "nothing here" and all(clean[k].startswith("[TERM] w") for k in range(6))
 
 
+def brute_terms(rows, support=3, threshold=0.9, width=20):
+    """The disclosing terms by definition: documents counted one by one."""
+    from collections import defaultdict
+    from math import log
+
+    has, windows, docs_of_term = defaultdict(set), defaultdict(dict), defaultdict(set)
+    for k, (_, text) in enumerate(rows):
+        spans = plain(text or "")
+        free = [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W_]+", text or "") if len(m[0]) > 1]
+        for t in {t for t, *_ in free}:
+            docs_of_term[t].add(k)
+        free = [t for t in free if not any(s < t[2] and t[1] < e for _, s, e in spans)]
+        near = defaultdict(set)
+        for kind, s, e in spans:
+            before = sum(t[1] < s for t in free)
+            for key in pii.entities(kind, text[s:e]):
+                has[key].add(k)
+                near[key] |= {t[0] for t in free[max(0, before - width) : before + width]}
+        for key, words in near.items():
+            if words:
+                windows[key][k] = (pii.signature(sorted(words)), {t[0] for t in free})
+    found = set()
+    for key, by_doc in windows.items():
+        distinct = {sig: bands for (sig, bands), _ in by_doc.values()}
+        if len(distinct) < support:
+            continue
+        least = {}
+        for sig, bands in distinct.items():
+            for at, b in enumerate(bands):
+                least[at, b] = min(sig, least.get((at, b), sig))
+        lead = {sig for sig, bands in distinct.items() if all(least[at, b] == sig for at, b in enumerate(bands))}
+        if len(lead) < support or len(has[key]) == len(rows):
+            continue
+        p = len(has[key]) / len(rows)
+        for t in set.union(*(w for _, w in by_doc.values())):
+            with_t = {k for k, (_, w) in by_doc.items() if t in w}
+            shown = {}
+            for k in sorted(by_doc, key=lambda k: xx(rows[k][1])):
+                shown.setdefault(by_doc[k][0][0], k)
+            if sum(sig in lead and k in with_t for sig, k in shown.items()) < support:
+                continue
+            n = max(len(with_t), len(docs_of_term[t]))
+            q = len(with_t) / n
+            if q > p and log(q / p) / -log(p) >= threshold and n * (q * log(q / p) + ((1 - q) * log((1 - q) / (1 - p)) if q < 1 else 0)) >= pii.SURPRISE:
+                found.add(t)
+    return found
+
+
+def xx(text):
+    """Spark's xxhash64 of a text ranks documents that share a window."""
+    return np.uint64(pii.xxhash.xxh64_intdigest((text or "").encode(), 42)).view(np.int64)
+
+
+def wanted(rows):
+    names = brute_terms(rows)
+    out = {}
+    for i, text in rows:
+        base = plain(text or "")
+        more = [("term", *m.span()) for m in re.finditer(r"[^\W_]+", text or "") if m[0].lower() in names and not any(s < m.end() and m.start() < e for _, s, e in base)]
+        out.setdefault(i, []).append(",".join(f"{k}:{a}:{b}" for k, a, b in base + more))
+    return names, out
+
+
+def test_spans_in_full_equal_brute_force(spark, texts, tmp_path):
+    """Everything the query returns, on a corpus with planted terms at the level of a value, of a domain and of a kind."""
+    rng = np.random.RandomState(8)
+    filler = lambda n: " ".join(f"w{x}" for x in rng.randint(0, 300, n))
+    rows = [(k, f"{filler(30)} Zorblat {filler(4)} zora@a{k}x.example.org {filler(20)}") for k in range(5)]
+    rows += [(k, f"{filler(30)} Acmeco {filler(9)} staff{k}@acme.example.com {filler(20)}") for k in range(10, 22)]
+    rows += [(k, f"{filler(30)} hotline {filler(9)} +1 (2{k}) 555-01{k} {filler(20)} and zora@zora.example.org") for k in range(30, 42)]
+    rows += [(k, f"{filler(30)} one off{k}@x{k}.example.net {filler(20)} 10.{k}.0.1") for k in range(50, 60)]
+    rows += [(100 + k, f"{filler(40)}\nİstanbul") for k in range(200)] + [(400, "ACMECO hotline Zorblat"), (401, None), (402, "")]
+    rows += [(1000 + i, t) for i, t in texts[:60]]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    names, want = wanted(rows)
+    assert {"acmeco", "hotline"} <= names and not any(w.startswith("w") for w in names)
+    got = {}
+    for r in queries.op9_pii(spark, str(tmp_path)).collect():
+        got.setdefault(r["doc_id"], []).append(r["spans"])
+    assert got == want and got[400] == ["term:0:6,term:7:14"]
+
+
+def test_levels_of_entities():
+    value, domain, kind = pii.entities("email", "A.b@Mail.Example.com")
+    assert pii.entities("email", "c@mail.example.COM")[1:] == [domain, kind] and pii.entities("email", "a.B@mail.example.com")[0] == value
+    assert pii.entities("ip", "1.2.3.4")[1] == pii.entities("ip", "1.2.9.9")[1] != pii.entities("ip", "1.3.3.4")[1]
+    assert pii.entities("card", "4111 1111 1111 1111") == pii.entities("card", "4111-1111-11111111") and pii.entities("phone", "+49 (30) 123 456")[1] == pii.entities("phone", "+49-999 888 77")[1]
+    assert pii.lowered("İstanbul ÀB") == "istanbul àb"
+
+
 def test_pii_edges(docs_of):
     docs = docs_of([(None, "a@b.cd"), (1, None), (2, ""), (1, "a@b.cd"), (1, "a@b.cd")])
     assert sorted(r["n_email"] for r in pii.find_personal(docs).collect()) == [0, 0, 1, 1, 1]
