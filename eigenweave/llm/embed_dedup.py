@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import check_input, written
-from .components import connected_components
+from .components import connected_components, forest
 
 SAMPLE, BLOCK, STRIPS = 4096, 2048, 64
 #: Components after which products are bounded, and the share of pairs below which single pairs are followed.
@@ -72,21 +72,6 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: floa
     return i[keep], j[keep]
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest node connected with each of n nodes."""
-    low = np.arange(n)
-    while True:
-        least = np.minimum(low[i], low[j])
-        new = low.copy()
-        np.minimum.at(new, low[i], least)
-        np.minimum.at(new, low[j], least)
-        new = new[new]
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = BLOCK) -> DataFrame:
     """(id, n_links long, component_id, kept boolean) for each row of vectors.
 

@@ -35,8 +35,8 @@ from .components import connected_components
 from .tokens import release
 
 BITS = 64
-#: Least number of partitions that variants are dealt to. A fingerprint's variants then hardly meet in one, so that what a row costs doesn't grow with the input.
-LEAST_PARTS = 96
+#: Members of a bucket that one task compares with an outsider, at most about so many.
+SALT = 8192
 #: Shingles whose bits are counted at once, which bounds memory for very long texts.
 BLOCK = 1 << 15
 
@@ -110,42 +110,44 @@ def _edges(links: DataFrame, a: str, b: str) -> DataFrame:
 def link_components(prints: DataFrame, distance: int = 4) -> DataFrame:
     """(fp, root) for every fp of prints(fp, n), which holds each fp once with its number of documents.
 
-    Joins that meet all variants are merge joins at any size: a broadcast would be chosen for small
-    inputs only, and a bucket's rows would not be split between tasks.
+    Variants are shuffled twice: summed up within tasks to find the buckets that matter, and as rows
+    to meet those. Joins on their keys are merge joins of two plain exchanges, which adaptive
+    execution splits where a key is hot: a broadcast would be chosen for small inputs only.
     """
     if not 0 <= distance <= 40:
         raise ValueError("distance must be from 0 to 40: shorter segments index nothing")
-    wide = max(LEAST_PARTS, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    fps = written(prints.select("fp", "n"), "fps")
+    wide = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = prints.select("fp", "n")
     near = fps.select("fp", "n", F.explode(_equal_segments(F.col("fp"), distance)).alias("key"))
     pivots = near.groupBy("key").agg(F.max(F.struct("n", "fp"))["fp"].alias("pivot"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-    pivots = written(pivots.where("lo != hi").select(F.col("key").alias("k"), "pivot"), "pivots")
+    pivots = pivots.where("lo != hi").select(F.col("key").alias("k"), "pivot")
     linked = (F.col("key") == F.col("k")) & (F.col("fp") != F.col("pivot")) & (_apart("fp", "pivot") <= distance)
     first = connected_components(_edges(near.join(pivots.hint("merge"), linked), "fp", "pivot"))
-    known = fps.join(first.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("c"))
+    grown = first.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    first = first.join(grown, "root").select(F.col("node").alias("fp"), "root", "members")
+    known = fps.join(first, "fp", "left").select("fp", F.coalesce("root", "fp").alias("c"), F.coalesce("members", F.lit(1)).alias("members"))
     known = written(known, "known")
-    grown = written(known.groupBy("c").count().where("count > 1"), "grown")
-    known = written(known.join(grown, "c", "left").select("fp", "c", F.coalesce("count", F.lit(1)).alias("members")), "sized")
 
     # plain minima and maxima of numbers: hash aggregation sums up within a task before the shuffle
     each = known.repartition(wide, "fp").select("fp", "c", "members", F.explode(variants(F.col("fp"), distance)).alias("key"))
-    keyed = each.repartition(wide, "key")
     among = lambda least, name: F.max(F.when(F.col("members") >= least, F.col("c"))).alias(name)
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min("c").alias("c0"), F.max("c").alias("c1"), among(2, "m1"), among(64, "m2"), among(4096, "m3"))
+    buckets = each.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min("c").alias("c0"), F.max("c").alias("c1"), among(2, "m1"), among(64, "m2"), among(4096, "m3"))
     chance = (F.col("size") == 2) & (_apart("lo", "hi") > distance)
     buckets = written(buckets.where((F.col("c0") != F.col("c1")) & ~chance), "buckets")
     twos = buckets.where("size = 2").select("c0", "c1")
-    larger = buckets.where("size > 2").select(F.col("key").alias("k"), F.coalesce("m3", "m2", "m1", "c1").alias("main"))
-    outside = keyed.join(larger.hint("merge"), (F.col("key") == F.col("k")) & (F.col("c") != F.col("main"))).select("key", "fp", "c", "main")
-    outside = written(outside, "outside")
-    asking = outside.select(F.col("key").alias("k"), F.col("fp").alias("other"), F.col("c").alias("own"), "main")
-    meets = (F.col("key") == F.col("k")) & (F.col("main") == F.col("c")) & (_apart("fp", "other") <= distance)
-    to_main = asking.join(each.select("key", "fp", "c").repartition(wide, "key", "c").hint("merge"), meets, "left_semi")
+    larger = buckets.where("size > 2").select(F.col("key").alias("k"), F.coalesce("m3", "m2", "m1", "c1").alias("main"), F.ceil(F.col("size") / SALT).cast("int").alias("salts"))
+    members = each.select("key", "fp", "c").join(larger.hint("merge"), F.col("key") == F.col("k")).select("key", "fp", "c", "main", "salts")
+    members = written(members, "members")
+    outside = members.where("c != main")
+    # a hot bucket's main members are dealt out by salt, and its few outsiders ask each of them
+    asking = outside.select(F.col("key").alias("k"), F.col("fp").alias("other"), F.col("c").alias("own"), "main", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s"))
+    told = members.where("c = main").select("key", "fp", F.pmod(F.xxhash64("fp"), "salts").cast("int").alias("salt"))
+    meets = (F.col("key") == F.col("k")) & (F.col("salt") == F.col("s")) & (_apart("fp", "other") <= distance)
+    to_main = asking.join(told.hint("merge"), meets, "left_semi")
     second = connected_components(_edges(twos, "c0", "c1").unionByName(_edges(to_main, "own", "main")))
-    second = written(second, "second").select(F.col("node").alias("c"), F.col("root").alias("top"))
+    second = second.select(F.col("node").alias("c"), F.col("root").alias("top"))
 
     left = outside.join(second, "c", "left").select("key", "fp", F.coalesce("top", "c").alias("c"))
-    left = written(left, "left")
     right = left.select(F.col("key").alias("k"), F.col("fp").alias("other"), F.col("c").alias("own"))
     pairs = left.join(right, (F.col("key") == F.col("k")) & (F.col("c") < F.col("own")) & (_apart("fp", "other") <= distance))
     third = connected_components(_edges(pairs, "c", "own")).select(F.col("node").alias("top"), F.col("root").alias("last"))
@@ -160,8 +162,8 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, words: int, distance:
     prints = written(fingerprints(rows, "text", words, seed), "prints")
     reps = written(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "reps")
     named = written(reps.join(link_components(reps, distance), "fp").select("fp", "rep", "root"), "named")
-    least = written(named.groupBy("root").agg(F.min("rep").alias("component")), "least")
-    classes = written(named.join(least, "root").select("fp", "root", "component"), "classes")
+    least = named.groupBy("root").agg(F.min("rep").alias("component"))
+    classes = named.join(least, "root").select("fp", "root", "component")
     return prints.join(classes, "fp").select("id", "fp", "root", "component")
 
 
