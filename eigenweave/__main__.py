@@ -1,4 +1,8 @@
-"""Run an experiment: python -m eigenweave --data FOLDER --dataset embeddings --partition dirichlet."""
+"""Run an experiment, or show an operator at work.
+
+python -m eigenweave --data FOLDER --dataset embeddings --partition dirichlet
+python -m eigenweave --demo streaming
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .operators.estimators import METHODS
+from .plans.demos import DEMOS
 from .plans.experiment import scorecard
 from .sources import samples as src
 from .sources.partition import DataPartitioner
@@ -14,7 +19,8 @@ from .sources.partition import DataPartitioner
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="eigenweave")
-    p.add_argument("--data", required=True, help="folder of Parquet tables")
+    p.add_argument("--demo", choices=sorted(DEMOS), help="a short run on generated data, instead of an experiment")
+    p.add_argument("--data", help="folder of Parquet tables")
     p.add_argument("--dataset", default="embeddings", choices=sorted(src.DATASETS))
     p.add_argument("--partition", default="iid", choices=["iid", "dirichlet", "shard", "quantity_skew", "quantity"])
     p.add_argument("--num-clients", type=int, default=10)
@@ -24,7 +30,15 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--methods", nargs="*", choices=list(METHODS))
     p.add_argument("--out", help="folder for the scorecard, Parquet")
     a = p.parse_args(argv)
+    if not a.demo and not a.data:
+        p.error("one of --data and --demo is needed")
     spark = SparkSession.builder.getOrCreate()
+    if a.demo:
+        shown = DEMOS[a.demo](spark)
+        shown.show(truncate=False)
+        if a.out:
+            shown.write.mode("overwrite").parquet(a.out)
+        return
     rows = src.load(spark, a.data, a.dataset)
     params = {"alpha": a.alpha} if a.partition == "dirichlet" else {}
     parted = DataPartitioner(a.num_clients, a.seed).partition(rows, a.partition, **params)

@@ -1,8 +1,8 @@
 """Policies that combine parties' statistics into one model, each a sum of d x d matrices.
 
 A policy maps a party's (n, mean, covariance) to a weight and a symmetric matrix on the executors;
-tasks sum what they map, a bounded fan-in merges the sums, and the driver receives at most a few
-matrices whatever the number of parties. Stacked payloads (AP-STACK, QR-PCA) are combined through
+tasks sum what they map, a tree of bounded fan-in merges the sums, and the driver receives one
+matrix whatever the number of parties and tasks. Stacked payloads (AP-STACK, QR-PCA) are combined through
 the Gram matrix of the stack, whose eigenvectors are the stack's left singular vectors.
 """
 
@@ -14,11 +14,10 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .linalg import canonical, eigen_desc, pack, unpack
 from .model import PCAModel
-from .stats import FAN_IN, Moments
+from .stats import Moments, merge_moments, merge_tree, moments_row, tasks_of
 
 #: From one party to (scalars, vector, symmetric matrix), which are summed.
 Part = Callable[[Moments], tuple[list[float], np.ndarray, np.ndarray]]
@@ -44,13 +43,14 @@ def sum_over(stats: DataFrame, part: Part) -> tuple[np.ndarray, np.ndarray, np.n
         if total is not None:
             yield pd.DataFrame({"task": [TaskContext.get().partitionId()], "s": [total[0]], "v": [total[1]], "m": [pack(total[2])]})
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"task": [0], **{c: [np.sum(np.stack(pdf[c].to_numpy()), axis=0)] for c in "svm"}})
+    def merge(held: dict | None, r: pd.Series) -> dict:
+        own = {c: np.asarray(r[c], float) for c in "svm"}
+        return own if held is None else {c: held[c] + own[c] for c in "svm"}
 
-    rows = stats.select("n", "mean", "m2").mapInPandas(run, schema).groupBy(F.floor(F.col("task") / FAN_IN)).applyInPandas(merge, schema).collect()
+    rows = merge_tree(stats.select("n", "mean", "m2").mapInPandas(run, schema), [], merge, lambda held: held, tasks_of(stats)).collect()
     if not rows:
         raise ValueError("no party has rows")
-    s, v, m = (np.sum([np.array(r[c], float) for r in rows], axis=0) for c in "svm")
+    s, v, m = (np.array(rows[0][c], float) for c in "svm")
     return s, v, unpack(m, len(v))
 
 
@@ -73,12 +73,8 @@ def pooled_moments(stats: DataFrame) -> Moments:
             yield frame(m)
 
     near = stats.select("n", "mean", "m2").mapInPandas(run, schema)
-    rows = near.groupBy(F.floor(F.col("task") / FAN_IN)).applyInPandas(lambda pdf: frame(fold(iter([pdf]))), schema).collect()
-    total = None
-    for r in rows:
-        mean = np.array(r["mean"], float)
-        one = Moments(r["n"], mean, unpack(np.array(r["m2"], float), len(mean)))
-        total = one if total is None else total.merge(one)
+    rows = merge_tree(near, [], merge_moments, moments_row, tasks_of(stats)).collect()
+    total = merge_moments(None, rows[0]) if rows else None
     if total is None or not total.n:
         raise ValueError("no party has rows")
     return total

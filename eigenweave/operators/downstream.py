@@ -1,8 +1,10 @@
-"""Classification on projected data: k nearest neighbours, logistic regression, an approximate RBF machine.
+"""Classification on projected data: k nearest neighbours, logistic regression, an RBF machine.
 
 Nearest neighbours are exact: training rows are cut into blocks of bounded size, every task scans
 its test rows against one block and keeps k candidates a row, and candidates of all blocks merge by
-rank. Neither side is collected whole anywhere, and no pair of rows is materialised.
+rank. Neither side is collected whole anywhere, and no pair of rows is materialised. The RBF machine
+is exact (kernel.py) where its training rows fit a task, and approximate beyond: one-vs-rest linear
+machines on random Fourier features.
 """
 
 from __future__ import annotations
@@ -14,7 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernel import fits, predict_rbf
+
 TRAIN_BLOCK, TEST_BLOCK = 4096, 2048
+#: Pairs measured exactly at once.
+PAIRS = 1 << 16
 
 
 def _blocked(df: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
@@ -36,11 +42,20 @@ def nearest(train: DataFrame, test: DataFrame, k: int, column: str = "features")
         left = left.sort_values("row_id")
         x, y = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
         far = np.maximum((y * y).sum(1)[:, None] - 2 * y @ x.T + (x * x).sum(1)[None, :], 0)
-        top = np.argsort(far, axis=1, kind="stable")[:, : 2 * k]
-        exact = np.sqrt(((y[:, None, :] - x[top]) ** 2).sum(-1))
-        order = np.lexsort((np.broadcast_to(top, exact.shape), exact), axis=1)[:, :k]
-        top, exact = np.take_along_axis(top, order, 1), np.take_along_axis(exact, order, 1)
-        return pd.DataFrame({"row_id": np.repeat(right["row_id"].to_numpy(), top.shape[1]), "neighbour": left["row_id"].to_numpy()[top].ravel(), "label": left["label"].to_numpy()[top].ravel(), "distance": exact.ravel()})
+        most = min(k, len(x))
+        # products round: whatever could still be among the k nearest is measured exactly, ties all of them
+        slack = 1e-12 * x.shape[1] * ((y * y).sum(1) + (x * x).sum(1).max())
+        near = far <= (np.partition(far, most - 1, axis=1)[:, most - 1] + 2 * slack)[:, None]
+        parts = []
+        for s in range(0, len(y), 64):
+            i, j = np.nonzero(near[s : s + 64])
+            exact = np.concatenate([np.sqrt(((y[s + i[q : q + PAIRS]] - x[j[q : q + PAIRS]]) ** 2).sum(1)) for q in range(0, len(i), PAIRS)])
+            order = np.lexsort((j, exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < most
+            parts.append((s + i[keep], j[keep], exact[keep]))
+        i, j, exact = (np.concatenate(c) for c in zip(*parts))
+        return pd.DataFrame({"row_id": right["row_id"].to_numpy()[i], "neighbour": left["row_id"].to_numpy()[j], "label": left["label"].to_numpy()[j], "distance": exact})
 
     found = a.groupBy(*cell).cogroup(b.groupBy(*cell)).applyInPandas(scan, "row_id long, neighbour long, label int, distance double")
     w = Window.partitionBy("row_id").orderBy("distance", "neighbour")
@@ -85,10 +100,15 @@ def _fourier(df: DataFrame, column: str, gamma: float, width: int, seed: int) ->
     return df.select("row_id", "label", F.col(column).cast("array<double>").alias("x")).mapInPandas(run, "row_id long, label int, features array<double>")
 
 
-def predict(train: DataFrame, test: DataFrame, classifier: str = "knn", column: str = "features", k: int = 5, c: float = 1.0, max_iter: int = 1000, width: int = 512, seed: int = 0) -> DataFrame:
-    """(row_id, label, predicted) of test rows by `knn`, `logistic`, or `svm` (approximate: one-vs-rest linear machines on random Fourier features)."""
+def predict(train: DataFrame, test: DataFrame, classifier: str = "knn", column: str = "features", k: int = 5, c: float = 1.0, max_iter: int = 1000, width: int = 512, seed: int = 0, exact: bool | None = None) -> DataFrame:
+    """(row_id, label, predicted) of test rows by `knn`, `logistic` or `svm`.
+
+    The SVM is exact where kernel.fits() (or `exact`) says so; width, seed and max_iter are the approximation's.
+    """
     if classifier == "knn":
         got = knn_predict(train, test, k, column)
+    elif classifier == "svm" and (fits(train, column) if exact is None else exact):
+        got = predict_rbf(train, test, column, c, 1.0 / _scale(train, column))
     elif classifier in ("logistic", "svm"):
         from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 
@@ -99,7 +119,7 @@ def predict(train: DataFrame, test: DataFrame, classifier: str = "knn", column:
         if classifier == "logistic":
             made = LogisticRegression(featuresCol="x", maxIter=max_iter, regParam=1 / (c * n), elasticNetParam=0.0, standardization=False)
         else:
-            made = OneVsRest(featuresCol="x", classifier=LinearSVC(featuresCol="x", maxIter=min(max_iter, 20), regParam=1 / (c * n), standardization=False))
+            made = OneVsRest(featuresCol="x", classifier=LinearSVC(featuresCol="x", maxIter=max_iter, regParam=1 / (c * n), standardization=False))
         model = made.fit(_ml(train, column).withColumn("label", F.col("label").cast("double")))
         got = model.transform(_ml(test, column).drop("label")).select("row_id", F.col("prediction").cast("int").alias("predicted"))
     else:

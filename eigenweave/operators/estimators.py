@@ -9,8 +9,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.samples import dimension
 from . import combine
-from .iterate import subspace_iteration
+from .iterate import MATRIX_DIMS, subspace_iteration
 from .model import NotFitted, PCAModel
 from .stats import party_stats
 
@@ -175,7 +176,15 @@ class SubspaceIteration(Estimator):
     tol: float = 1e-6
     name = "SUB-IT"
 
-    def _fit(self, samples: DataFrame, stats: DataFrame) -> PCAModel:
+    def fit(self, samples: DataFrame, stats: DataFrame | None = None) -> Estimator:
+        """As the others, but beyond MATRIX_DIMS features no party's matrix is made."""
+        if stats is not None or (d := dimension(samples)) <= MATRIX_DIMS:
+            return super().fit(samples, stats)
+        self._parties, self._dims = samples.select("party").distinct().count(), d
+        self._model = self._fit(samples, None)
+        return self
+
+    def _fit(self, samples: DataFrame, stats: DataFrame | None) -> PCAModel:
         return subspace_iteration(samples, self.n_components, self.max_iter, self.tol, self.random_state, stats)
 
     def communication_cost(self) -> dict:

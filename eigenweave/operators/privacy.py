@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.samples import sample_rows
 from .estimators import Estimator
 from .linalg import nearest_psd
 from .model import PCAModel
@@ -79,9 +80,59 @@ def clip(df: DataFrame, bound: float, per_sample: bool = True, column: str = "fe
     return rows.withColumn("__factor", factor).withColumn(column, F.transform(column, lambda x: x * F.col("__factor"))).drop("__norm", "__factor")
 
 
+#: Values that one buffer sorts; more are bracketed by quantile sketches first.
+SORTED = 100_000
+
+
+def exact_percentile(values: DataFrame, share: float, held: int = SORTED) -> float | None:
+    """The percentile of the one column of values, with linear interpolation; None without rows.
+
+    A sketch brackets the two order statistics, and the values inside the bracket are bracketed
+    again until they fit one buffer, which sorts them.
+    """
+    v = values.columns[0]
+    rows = values.where(F.col(v).isNotNull())
+    n = rows.count()
+    if not n:
+        return None
+    place = (n - 1) * share
+    low, high = int(np.floor(place)), int(np.ceil(place))
+
+    def order(k: int) -> float:
+        inside, before, m = rows, 0, n
+        while m > held:
+            at = [max(0.0, (k - before) / m - 1e-3), min(1.0, (k - before + 1) / m + 1e-3)]
+            a, b = inside.agg(F.percentile_approx(v, at, 10_000)).first()[0]
+            if at[0] == 0.0:
+                a = inside.agg(F.min(v)).first()[0]
+            if at[1] == 1.0:
+                b = inside.agg(F.max(v)).first()[0]
+            less, some = rows.agg(F.sum((F.col(v) < a).cast("long")), F.sum(F.col(v).between(a, b).cast("long"))).first()
+            if not less <= k < less + some:
+                raise ArithmeticError("the sketch missed its bracket")
+            if a == b:
+                return float(a)
+            if some >= m:  # ties hold the bracket open: take them off either end
+                first = rows.agg(F.sum((F.col(v) <= a).cast("long")), F.sum((F.col(v) < b).cast("long"))).first()
+                if k < first[0]:
+                    return float(a)
+                if k >= first[1]:
+                    return float(b)
+                inside, before, m = rows.where((F.col(v) > a) & (F.col(v) < b)), first[0], first[1] - first[0]
+            else:
+                inside, before, m = rows.where(F.col(v).between(a, b)), less, some
+        return float(inside.agg(F.sort_array(F.collect_list(v))).first()[0][k - before])
+
+    x = order(low)
+    return x if high == low else x + (place - low) * (order(high) - x)
+
+
 def clip_bound(df: DataFrame, share: float = 0.95, column: str = "features") -> float:
     """The exact percentile of row norms, with linear interpolation."""
-    return float(df.agg(F.percentile(norm(column), share)).first()[0])
+    found = exact_percentile(df.select(norm(column).alias("norm")), share)
+    if found is None:
+        raise ValueError("no rows")
+    return found
 
 
 def noisy(moments: Moments, bound: float, epsilon: float, delta: float, rng: np.random.RandomState) -> tuple[Moments, dict]:
@@ -165,15 +216,27 @@ def privacy_tradeoff(spark: SparkSession, samples: DataFrame, k: int, epsilons:
 
     bound = bound or clip_bound(samples)
     truth = PooledCovariance(k).fit(samples).model
-    parts = [as_moments(r) for r in party_stats(clip(samples, bound)).orderBy("party").collect()]
+    draws = [(eps, np.random.RandomState(seed + t)) for eps in epsilons for t in range(trials)]
+    totals: list[Moments | None] = [None] * len(draws)
+    snrs: list[list[tuple[float, float]]] = [[] for _ in draws]
+    for row in party_stats(clip(samples, bound)).orderBy("party").toLocalIterator():  # one party at a time
+        party = as_moments(row)
+        for j, (eps, rng) in enumerate(draws):
+            m, info = noisy(party, bound, eps, delta, rng)
+            totals[j] = m if totals[j] is None else totals[j].merge(m)
+            snrs[j].append((info["snr_mean"], info["snr_cov"]))
     rows = []
-    for eps in epsilons:
-        angles, snrs = [], []
-        for t in range(trials):
-            rng = np.random.RandomState(seed + t)
-            got = [noisy(p, bound, eps, delta, rng) for p in parts]
-            model = private_model([m for m, _ in got], k)
-            angles.append(float(np.degrees(principal_angles(truth.components, model.components)).mean()))
-            snrs += [(i["snr_mean"], i["snr_cov"]) for _, i in got]
-        rows.append((float(eps), float(np.mean(angles)), float(np.std(angles)), *map(float, np.mean(snrs, axis=0))))
+    for i, eps in enumerate(epsilons):
+        own = range(i * trials, (i + 1) * trials)
+        angles = [float(np.degrees(principal_angles(truth.components, private_model([totals[j]], k).components)).mean()) for j in own]
+        rows.append((float(eps), float(np.mean(angles)), float(np.std(angles)), *map(float, np.mean([x for j in own for x in snrs[j]], axis=0))))
     return spark.createDataFrame(rows, "epsilon double, mean_angle double, std_angle double, snr_mean double, snr_cov double")
+
+
+def sample_size_sweep(spark: SparkSession, samples: DataFrame, k: int, sizes: list[int], epsilon: float = 1.0, delta: float = 1e-5, trials: int = 5, seed: int = 42) -> DataFrame:
+    """privacy_tradeoff() at one epsilon on samples of several sizes: (n, epsilon, mean_angle, ...). Rows are chosen by hash, smaller samples inside larger ones."""
+    out = None
+    for n in sizes:
+        part = privacy_tradeoff(spark, sample_rows(samples, n, seed), k, [epsilon], delta, trials, seed).select(F.lit(n).alias("n"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out

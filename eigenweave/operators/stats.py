@@ -2,14 +2,14 @@
 
 Up to SQL_DIMS features the aggregates are built-in (`avg`, `covar_pop`), so Catalyst plans partial
 and final aggregation with code generation. Above, each task folds its Arrow batches into one
-(n, mean, M2) per party with matrix products, and partial results merge in two shuffles with a
-bounded fan-in; raw rows never leave their task, and no group of rows is materialised. M2 travels
-as the packed upper triangle.
+(n, mean, M2) per party with matrix products, and partial results merge in a tree of bounded fan-in,
+one sorted row after another, so that a merge holds two matrices whatever it merges. Raw rows never leave
+their task, and no group of rows is materialised. M2 travels as the packed upper triangle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +25,7 @@ from ..sources.samples import dimension
 from .linalg import pack, unpack
 
 SQL_DIMS = 8
-#: Partial results that one merge takes, and bytes of partial state that a task holds before it hands them on.
+#: Tasks whose partial results one merge takes, and bytes of partial state that a task holds before it hands them on.
 FAN_IN, STATE_BYTES = 64, 256 << 20
 
 
@@ -88,7 +88,8 @@ def _schema(frame: DataFrame, *more: T.StructField) -> T.StructType:
 
 
 def _sql_stats(frame: DataFrame, d: int) -> DataFrame:
-    f = F.col("features")
+    null = F.raise_error(F.lit("null value in a vector")).cast("double")
+    f = [F.coalesce(F.col("features")[i], null) for i in range(d)]
     cells = [F.covar_pop(f[i], f[j]).alias(f"c{i}_{j}") if i != j else F.var_pop(f[i]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
     got = frame.groupBy("party").agg(F.count(F.lit(1)).alias("n"), *(F.avg(f[i]).alias(f"m{i}") for i in range(d)), *cells)
     m2 = F.array(*(F.col(f"c{i}_{j}") * F.col("n") for i in range(d) for j in range(i, d)))
@@ -127,31 +128,69 @@ def _partials(frame: DataFrame, d: int) -> DataFrame:
     return frame.select("party", "features").mapInArrow(run, schema)
 
 
-def _merged(rows: pd.DataFrame, d: int) -> Moments:
-    total = None
-    for n, mean, m2 in zip(rows["n"], rows["mean"], rows["m2"]):
-        one = Moments(int(n), np.asarray(mean, float), unpack(np.asarray(m2, float), d))
-        total = one if total is None else total.merge(one)
-    return total
+def tasks_of(df: DataFrame) -> int:
+    """About as many tasks as df runs at most: scans by the plan's estimate of bytes, shuffles by their setting."""
+    conf = df.sparkSession.conf
+    split = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get("spark.sql.files.maxPartitionBytes"))
+    read = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(conf.get("spark.sql.shuffle.partitions")), min(read // max(split, 1) + 1, 1 << 24))
+
+
+def merge_tree(parts: DataFrame, by: list[str], merge: Callable[[object, pd.Series], object], row: Callable[[object], dict], tasks: int) -> DataFrame:
+    """Merge the rows of parts(by, task, ...) to one for each value of `by`, FAN_IN tasks at a time.
+
+    merge(held, row) folds a row into what is held (None at first), row(held) gives the columns back. A
+    step sorts its rows by key and streams through them, so it holds one merged value and one row.
+    """
+    schema = parts.schema
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, None
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame({c: [v] for c, v in {**dict(zip([*by, "task"], key)), **row(held)}.items()})[schema.names]
+
+        for pdf in frames:
+            for k in range(len(pdf)):
+                r = pdf.iloc[k]
+                own = tuple(None if pd.isna(r[c]) else r[c] for c in by) + (int(r["task"]),)
+                if key is not None and own != key:
+                    yield out()
+                    held = None
+                key, held = own, merge(held, r)
+        if key is not None:
+            yield out()
+
+    while True:
+        last = tasks <= FAN_IN
+        parts = parts.withColumn("task", F.lit(0) if last else F.floor(F.col("task") / FAN_IN).cast("int")).select(schema.names)
+        parts = parts.repartition(*by, "task").sortWithinPartitions(*by, "task").mapInPandas(fold, schema)
+        if last:
+            return parts.drop("task")
+        tasks = -(-tasks // FAN_IN)
+
+
+def merge_moments(held: Moments | None, row: pd.Series) -> Moments:
+    mean = np.asarray(row["mean"], float)
+    one = Moments(int(row["n"]), mean, unpack(np.asarray(row["m2"], float), len(mean)))
+    return one if held is None else held.merge(one)
+
+
+def moments_row(m: Moments) -> dict:
+    return {"n": m.n, "mean": m.mean, "m2": pack(m.m2)}
 
 
 def party_stats(frame: DataFrame, d: int | None = None) -> DataFrame:
     """(party, n, mean, m2) for each party of a samples frame; m2 is the packed upper triangle of n times the covariance.
 
-    A null party is a party. Vectors of different lengths and null values raise. No rows, no parties.
+    A null party is a party. Vectors of different lengths, null vectors and null values raise, at
+    any number of features. No rows, no parties.
     """
     if d is None:
         d = dimension(frame)
     if d <= SQL_DIMS:
         return _sql_stats(frame, d)
-    schema = _schema(frame, T.StructField("task", T.IntegerType()))
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        m = _merged(rows, d)
-        return pd.DataFrame({"party": rows["party"].iloc[:1].tolist(), "n": [m.n], "mean": [m.mean], "m2": [pack(m.m2)], "task": [int(rows["task"].iloc[0]) // FAN_IN]})
-
-    near = _partials(frame, d).groupBy("party", F.floor(F.col("task") / FAN_IN)).applyInPandas(merge, schema)
-    return near.groupBy("party").applyInPandas(merge, schema).drop("task")
+    return merge_tree(_partials(frame, d), ["party"], merge_moments, moments_row, tasks_of(frame))
 
 
 def as_moments(row) -> Moments:

@@ -112,19 +112,76 @@ def projections(data: DataFrame, models: dict[str, PCAModel]) -> DataFrame:
     return out
 
 
+def metric_bars(results: DataFrame, metric: str = "reconstruction_mse") -> DataFrame:
+    """(method, value): one bar a method, over all configurations the mean."""
+    return results.groupBy("method").agg(F.avg(metric).alias("value"))
+
+
+def robustness(results: DataFrame, metric: str = "mean_angle", by: str = "parameter", partition: str | None = "dirichlet") -> DataFrame:
+    """(by, method, value) in order: a line a method against the skew of the partition."""
+    rows = results if partition is None else results.where(F.col("partition") == partition)
+    return rows.groupBy(by, "method").agg(F.avg(metric).alias("value")).orderBy(by, "method")
+
+
+def scalability(results: DataFrame, metric: str = "mean_angle") -> DataFrame:
+    """(num_clients, method, value) in order: a line a method against the number of parties."""
+    return robustness(results, metric, "num_clients", None)
+
+
+class Projection:
+    """A model's scores of a frame, computed once: head() and points() read the held rows until release()."""
+
+    def __init__(self, model: PCAModel, data: DataFrame):
+        self.model = model
+        self.scores = model.transform(data).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def points(self, first: int = 0, second: int = 1) -> DataFrame:
+        return self.scores.select("row_id", "label", F.col("scores")[first].alias("x"), F.col("scores")[second].alias("y"))
+
+    def release(self) -> None:
+        self.scores.unpersist()
+
+
+#: Rows that a chart draws at most; a larger frame is an error, as the driver draws.
+DRAWN = 100_000
+
+
 def render(frame: DataFrame, path: str, x: str, y: str, series: str = "method", kind: str = "line") -> None:
-    """Draw a small frame where matplotlib is installed."""
+    """Draw a frame of at most DRAWN rows where matplotlib is installed: `line`, `scatter`, `bar` or `heat`."""
     import matplotlib
 
     matplotlib.use("Agg")
     import matplotlib.pyplot as plt
 
+    rows = frame.limit(DRAWN + 1).toPandas()
+    if len(rows) > DRAWN:
+        raise ValueError(f"more than {DRAWN} rows to draw")
+    draw_chart(plt, rows, path, x, y, series, kind)
+
+
+def draw_chart(plt, rows, path: str, x: str, y: str, series: str, kind: str) -> None:
+    """The chart itself; plt is matplotlib's pyplot or what stands in for it."""
+    if kind not in ("line", "scatter", "bar", "heat"):
+        raise ValueError(f"unknown kind {kind!r}")
     fig, ax = plt.subplots()
-    for name, part in frame.toPandas().groupby(series):
-        (ax.plot if kind == "line" else ax.scatter if kind == "scatter" else ax.bar)(part[x], part[y], label=str(name).replace("_", " ").title())
-    ax.set_xlabel(x)
-    ax.set_ylabel(y)
-    ax.legend()
+    if kind == "heat":
+        grid_ = rows.pivot(index=x, columns=series, values=y)
+        fig.colorbar(ax.imshow(grid_.to_numpy(), aspect="auto"))
+        ax.set_xticks(range(len(grid_.columns)), list(grid_.columns))
+        ax.set_yticks(range(len(grid_.index)), list(grid_.index))
+    elif kind == "bar":  # grouped: the series side by side at each x
+        names, places = sorted(rows[series].unique()), list(dict.fromkeys(rows[x]))
+        for k, name in enumerate(names):
+            part = rows[rows[series] == name]
+            ax.bar([places.index(v) + (k - (len(names) - 1) / 2) * 0.8 / len(names) for v in part[x]], part[y], 0.8 / len(names), label=str(name).replace("_", " ").title())
+        ax.set_xticks(range(len(places)), [str(p) for p in places])
+        ax.legend()
+    else:
+        for name, part in rows.sort_values(x).groupby(series):
+            (ax.plot if kind == "line" else ax.scatter)(part[x], part[y], label=str(name).replace("_", " ").title())
+        ax.legend()
+    ax.set_xlabel(x if kind != "heat" else series)
+    ax.set_ylabel(y if kind != "heat" else x)
     fig.savefig(path, dpi=150)
     plt.close(fig)
 

@@ -20,13 +20,13 @@ from ..operators import adaptive, combine, compression, downstream, metrics, pri
 from ..operators.estimators import estimator
 from ..operators.model import PCAModel
 from ..operators.stats import covariances, party_stats
-from ..sources import generate, samples as src
+from ..sources import generate, images, samples as src
 from ..sources.partition import DataPartitioner, partition_stats
 from ..sources.scratch import scratch
-from ..sources.sinks import read_csv, results_frame, text_report, write
+from ..sources.sinks import put_bytes, read_csv, results_frame, text_report, write
 from ..streaming import events as stream
 from ..streaming.incremental import StreamingPCA
-from . import experiment
+from . import demos, experiment
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -239,6 +239,11 @@ def b5_iid_partition(spark, sf):
     return _parties(DataPartitioner(7).partition(embeddings(spark, sf), "iid"))
 
 
+@query("SELECT CAST(party AS INTEGER) AS party, count(*) AS n, min(vec_id) AS first, max(vec_id) AS last FROM (SELECT vec_id, (row_number() OVER (ORDER BY " + U.format(seed=42) + ", vec_id) - 1) % 7 AS party FROM embeddings) GROUP BY party")
+def b5_iid_exact(spark, sf):
+    return _parties(DataPartitioner(7).partition(embeddings(spark, sf), "iid", exact=True))
+
+
 def _parties(parted: DataFrame) -> DataFrame:
     return parted.groupBy("party").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"))
 
@@ -266,6 +271,16 @@ def b7_shard_partition(spark, sf):
     return _parties(DataPartitioner(4).partition(embeddings(spark, sf), "shard", shards_per_client=2))
 
 
+def _shard_exact_sql() -> str:
+    deal = ", ".join(str(int(x) // 2) for x in np.random.RandomState(42).permutation(8))
+    return f"WITH k AS (SELECT vec_id, row_number() OVER (ORDER BY label IS NULL, label, {U.format(seed=42)}, vec_id) - 1 AS k, count(*) OVER () AS n FROM embeddings) SELECT CAST([{deal}][1 + CAST(least(k * 8 // n, 7) AS INTEGER)] AS INTEGER) AS party, count(*) AS n, min(vec_id) AS first, max(vec_id) AS last FROM k GROUP BY 1"
+
+
+@query(_shard_exact_sql())
+def b7_shard_exact(spark, sf):
+    return _parties(DataPartitioner(4).partition(embeddings(spark, sf), "shard", shards_per_client=2, exact=True))
+
+
 def _quantity_sql() -> str:
     cuts = ", ".join(repr(float(x)) for x in np.cumsum(DataPartitioner(5).quantity_shares(1.5))[:-1])
     return f"SELECT CAST(party AS INTEGER) AS party, count(*) AS n, min(vec_id) AS first, max(vec_id) AS last FROM (SELECT vec_id, len(list_filter([{cuts}], lambda s: s <= {U.format(seed=42)})) AS party FROM embeddings) GROUP BY party"
@@ -289,6 +304,31 @@ def b3_dataset_info(spark, sf):
     return src.dataset_info(spark, "embeddings")
 
 
+@query("SELECT CAST(i AS BIGINT) AS row_id, CAST(i % 3 AS INTEGER) AS label, round(list_sum([((i * 37 + j * 11) % 256) / 255 for j in range(12)]), 6) + 0.0 AS ink, CAST(12 AS INTEGER) AS d FROM range(500) t(i)")
+def b1_idx_images(spark, sf):
+    """A gzipped IDX pair, written by a rule, as samples."""
+    import gzip
+    import struct
+
+    folder = scratch(spark, "idx")
+    x = (np.arange(500)[:, None] * 37 + np.arange(12)[None, :] * 11) % 256
+    put_bytes(spark, f"{folder}/images.gz", gzip.compress(struct.pack(">4B3I", 0, 0, 8, 3, 500, 3, 4) + x.astype(np.uint8).tobytes()))
+    put_bytes(spark, f"{folder}/labels", struct.pack(">4BI", 0, 0, 8, 1, 500) + (np.arange(500) % 3).astype(np.uint8).tobytes())
+    got = images.load_idx(spark, f"{folder}/images.gz", f"{folder}/labels")
+    return got.select("row_id", "label", r(F.aggregate("features", F.lit(0.0), lambda a, v: a + v)).alias("ink"), F.size("features").alias("d"))
+
+
+@query("SELECT CAST(f * 4294967296 + i AS BIGINT) AS row_id, CAST((f * 7 + i) % 10 AS INTEGER) AS label, CAST(list_sum([(f * 101 + i * 31 + j) % 256 for j in range(3072)]) AS DOUBLE) AS ink FROM range(2) a(f), range(20) b(i)")
+def b2_image_records(spark, sf):
+    """Two files of binary records of a label and 3072 pixels, written by a rule, as samples."""
+    folder = scratch(spark, "records")
+    for f in range(2):
+        rows = [bytes([(f * 7 + i) % 10]) + ((f * 101 + i * 31 + np.arange(3072)) % 256).astype(np.uint8).tobytes() for i in range(20)]
+        put_bytes(spark, f"{folder}/batch_{f}.bin", b"".join(rows))
+    got = images.load_records(spark, folder, normalize=False)
+    return got.select("row_id", "label", F.aggregate("features", F.lit(0.0), lambda a, v: a + v).alias("ink"))
+
+
 def _made(frame: DataFrame) -> DataFrame:
     return frame.groupBy("party").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("d"), F.countDistinct("label").alias("classes"))
 
@@ -428,6 +468,40 @@ def e10_history(spark, sf):
     return StreamingPCA(1).fit(lineitem(spark, sf)).remove_client("1").history_frame(spark).select("action", "client_id", F.col("seq").cast("int").alias("seq"))
 
 
+@query(f"WITH {BASE} SELECT n, round(mx, 6) + 0.0 AS m0, round(my, 6) + 0.0 AS m1, round(a, 6) + 0.0 AS c00, round(b, 6) + 0.0 AS c01, round(c, 6) + 0.0 AS c11 FROM stats WHERE party = 1")
+def e1_client_state(spark, sf):
+    """One client's rows as the state that is kept of it."""
+    m = StreamingPCA.statistics(lineitem(spark, sf).where("party = 1"))
+    return spark.createDataFrame([(m.n, *(round(float(x), 6) for x in (*m.mean, m.cov[0, 0], m.cov[0, 1], m.cov[1, 1])))], "n long, m0 double, m1 double, c00 double, c01 double, c11 double")
+
+
+@query(_pooled_over("party <> 1 OR label <= 3"))
+def e8_recompute(spark, sf):
+    """Adds, an append, a replacement, removals; every second change rebuilds the global moments from the clients'."""
+    s = lineitem(spark, sf)
+    own = lambda p: s.where(F.col("party") == p)
+    run = StreamingPCA(1, threshold=2).add_client("2", own(2)).add_client("0", own(1)).add_client("x", own(2)).update_client("0", own(0), "replace")
+    run = run.add_client("1", own(1).where("label > 3")).remove_client("x").update_client("1", own(1).where("label <= 3"), "replace")
+    return components(spark, run.model)
+
+
+@query(_pooled_over("true"))
+def e9_aggregate(spark, sf):
+    """A federation replaced by a statistics table."""
+    s = lineitem(spark, sf)
+    return components(spark, StreamingPCA(1).add_client("old", s.where("party = 0")).aggregate(party_stats(s)).model)
+
+
+@query(f"WITH {BASE}, {eig('p', 'SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, covar_pop(x, y) AS b, var_pop(y) AS c FROM samples WHERE party <> 1')} SELECT CAST(2 AS INTEGER) AS n_clients, (SELECT count(*) FROM samples WHERE party <> 1) AS n_samples, CAST(2 AS INTEGER) AS n_features, CAST(1 AS INTEGER) AS n_components, true AS fitted, CAST(4 AS BIGINT) AS update_counter, CAST(1 AS BIGINT) AS since_recompute, round(l1 / (a + c), 6) + 0.0 AS explained FROM p")
+def e10_status(spark, sf):
+    return StreamingPCA(1).fit(lineitem(spark, sf)).remove_client("1").status(spark).withColumn("explained", r("explained"))
+
+
+@query("SELECT CAST(step AS INTEGER) AS step, action, CAST(n_clients AS INTEGER) AS n_clients, CAST(n_samples AS BIGINT) AS n_samples FROM (VALUES (0, 'add 0', 1, 500), (1, 'add 1', 2, 1100), (2, 'add 2', 3, 1500), (3, 'append to 0', 3, 1800), (4, 'replace 1', 3, 1500), (5, 'remove 2', 2, 1100)) t(step, action, n_clients, n_samples)")
+def e12_streaming_demo(spark, sf):
+    return demos.streaming(spark).drop("explained")
+
+
 EVENT_TABLE = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -440,15 +514,23 @@ CLIENT_EVENTS = "SELECT user_id % 4 AS client, value, ln(1 + value) AS y FROM ev
 
 @query(f"WITH e AS ({CLIENT_EVENTS}) SELECT CAST(client AS VARCHAR) AS client_id, count(*) AS n, round(avg(value), 6) + 0.0 AS m0, round(avg(y), 6) + 0.0 AS m1, round(covar_pop(value, y), 6) + 0.0 AS c01 FROM e GROUP BY client")
 def e3_stream_of_events(spark, sf):
-    """The events table as a stream of clients: the earliest tenth of ids adds a client, the others are appended to it."""
-    tenth = F.col("event_id") % 10
-    op = F.when(tenth == 0, "add").otherwise("update")
-    mode = F.when(tenth > 0, "append").otherwise("")
-    x = F.array(F.col("value"), F.log1p(F.col("value")))
-    ev = event_stream(spark, sf).where("value is not null").select(tenth.alias("seq"), op.alias("op"), mode.alias("mode"), (F.col("user_id") % 4).cast("string").alias("client_id"), x.alias("features"))
+    """The events table as a stream of clients: the first 500 ids add the clients, each next 500 are appended."""
     path = scratch(spark, "stream")
+    run_client_stream(event_stream(spark, sf), path)
+    return client_table(spark, path)
+
+
+def run_client_stream(events: DataFrame, path: str) -> None:
+    chunk = F.floor(F.col("event_id") / 500)
+    op = F.when(chunk == 0, "add").otherwise("update")
+    mode = F.when(chunk > 0, "append").otherwise("")
+    x = F.array(F.col("value"), F.log1p(F.col("value")))
+    ev = events.where("value is not null").select(chunk.alias("seq"), op.alias("op"), mode.alias("mode"), (F.col("user_id") % 4).cast("string").alias("client_id"), x.alias("features"))
     stream.run_models(ev, 1, path, f"{path}-checkpoint").awaitTermination()
-    last = stream.current(spark.read.parquet(f"{path}/changes"))
+
+
+def client_table(spark: SparkSession, path: str) -> DataFrame:
+    last = stream.current(spark, path)
     return last.select(F.col("party").alias("client_id"), "n", r(F.col("mean")[0]).alias("m0"), r(F.col("mean")[1]).alias("m1"), r(F.col("m2")[1] / F.col("n")).alias("c01"))
 
 
@@ -502,9 +584,59 @@ def f5_private_fit(spark, sf):
     return est.noise_frame(spark).select("party", "n_samples", r("mean_noise_scale").alias("mean_noise_scale"), r("cov_noise_scale").alias("cov_noise_scale"))
 
 
-@query()
+def _noise_sql(seeds: list[int], parties: int = 3) -> str:
+    """Standard draws of each trial and party, in the order in which they are made: two for the mean, four for the matrix."""
+    rows = []
+    for t, seed in enumerate(seeds):
+        rng = np.random.RandomState(seed)
+        for p in range(parties):
+            z, g = rng.normal(0, 1, 2), rng.normal(0, 1, (2, 2))
+            values = map(float, (*z, g[0, 0], (g[0, 1] + g[1, 0]) / 2, g[1, 1]))
+            rows.append(f"({t}, {p}, {', '.join(map(repr, values))})")
+    return "z AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") t(trial, party, z0, z1, g00, g01, g11))"
+
+
+def _noisy_sql(seeds: list[int], epsilons: list[float], bound: str) -> str:
+    """CTEs to `pool`: the pooled noisy moments of each epsilon and trial, from rows clipped to a bound, half the budget on mean and matrix each."""
+    values = ", ".join(f"({e!r})" for e in epsilons)
+    return f"""{_noise_sql(seeds)}, eps AS (SELECT * FROM (VALUES {values}) t(epsilon)),
+bound AS ({bound}),
+clipped AS (SELECT party, x * least(1, b / (sqrt(x * x + y * y) + 1e-10)) AS x, y * least(1, b / (sqrt(x * x + y * y) + 1e-10)) AS y FROM samples, bound),
+cs AS (SELECT party, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, covar_pop(x, y) AS b, var_pop(y) AS c FROM clipped GROUP BY party),
+scaled AS (SELECT cs.*, trial, CAST(epsilon AS DOUBLE) AS epsilon, z0, z1, g00, g01, g11, bound.b / n * sqrt(2 * ln(1.25 / 5e-6)) / (epsilon / 2) AS sm, 2 * bound.b * bound.b / n * sqrt(2 * ln(1.25 / 5e-6)) / (epsilon / 2) AS sc FROM cs JOIN z USING (party), eps, bound),
+noisy AS (SELECT *, mx + sm * z0 AS nx, my + sm * z1 AS ny, a + sc * g00 AS na, b + sc * g01 AS nb, c + sc * g11 AS nc,
+  sqrt(mx * mx + my * my) / (sm * sqrt(z0 * z0 + z1 * z1) + 1e-10) AS snr_mean, sqrt(a * a + 2 * b * b + c * c) / (sc * sqrt(g00 * g00 + 2 * g01 * g01 + g11 * g11) + 1e-10) AS snr_cov FROM scaled),
+centre AS (SELECT epsilon, trial, sum(n) AS nn, sum(n * nx) / sum(n) AS px, sum(n * ny) / sum(n) AS py FROM noisy GROUP BY epsilon, trial),
+pool AS (SELECT epsilon, trial, px, py, sum(n * (na + (nx - px) ** 2)) / nn AS a, sum(n * (nb + (nx - px) * (ny - py))) / nn AS b, sum(n * (nc + (ny - py) ** 2)) / nn AS c FROM noisy JOIN centre USING (epsilon, trial) GROUP BY epsilon, trial, px, py, nn),
+psd AS (SELECT *, greatest(0, 1e-6 - low) * CAST(low < 0 AS INTEGER) AS lift FROM (SELECT *, (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) AS low FROM pool)),
+axis AS (SELECT *, (a + c) / 2 + lift + sqrt(((a - c) / 2) ** 2 + b * b) AS l1, b / sqrt(b * b + (sqrt(((a - c) / 2) ** 2 + b * b) - (a - c) / 2) ** 2) AS u, (sqrt(((a - c) / 2) ** 2 + b * b) - (a - c) / 2) / sqrt(b * b + (sqrt(((a - c) / 2) ** 2 + b * b) - (a - c) / 2) ** 2) AS v FROM psd)"""
+
+
+@query(f"WITH {BASE}, {_noisy_sql([7], [1.0], 'SELECT CAST(9 AS DOUBLE) AS b')} SELECT round(px, 6) + 0.0 AS m0, round(py, 6) + 0.0 AS m1, round(l1, 6) + 0.0 AS eigenvalue, round(l1 / (a + c + 2 * lift), 6) + 0.0 AS ratio, round(abs(u), 6) + 0.0 AS w0, round(abs(v), 6) + 0.0 AS w1 FROM axis")
+def f6_private_model(spark, sf):
+    """The released model itself: clipping, the seed's noise on every party, pooling."""
+    m = privacy.PrivatePCA(1, 7, epsilon=1.0, delta=1e-5, clip_bound=9.0).fit(lineitem(spark, sf)).model
+    return numbers(spark, m0=m.mean[0], m1=m.mean[1], eigenvalue=m.explained_variance[0], ratio=m.explained_variance_ratio[0], w0=abs(m.components[0, 0]), w1=abs(m.components[0, 1]))
+
+
+@query("SELECT CAST(0 AS INTEGER) AS line_no, 'epsilon 1.0, delta 1e-05, clip bound 9.000000, parties 3' AS line UNION ALL SELECT CAST(1 + party AS INTEGER), '  ' || party || ': n ' || n FROM (" + f"WITH {BASE} SELECT party, n FROM stats)")
+def f8_privacy_report(spark, sf):
+    lines = privacy.PrivatePCA(1, 7, epsilon=1.0, delta=1e-5, clip_bound=9.0).fit(lineitem(spark, sf)).privacy_report().split("\n")
+    return spark.createDataFrame([(k, x.split(", covariance")[0]) for k, x in enumerate(lines)], "line_no int, line string")
+
+
+@query(f"""WITH {BASE}, {eig('truth', POOLED)}, {_noisy_sql([42, 43, 44], [1.0, 5.0, 10.0], 'SELECT quantile_cont(sqrt(x * x + y * y), 0.95) AS b FROM samples')},
+far AS (SELECT epsilon, trial, degrees(asin(least(1, abs(axis.u * truth.v - axis.v * truth.u)))) AS angle FROM axis, truth),
+angles AS (SELECT epsilon, avg(angle) AS m, stddev_pop(angle) AS s FROM far GROUP BY epsilon), snr AS (SELECT epsilon, avg(snr_mean) AS sm, avg(snr_cov) AS sc FROM noisy GROUP BY epsilon)
+SELECT epsilon, round(m, 4) + 0.0 AS mean_angle, round(s, 4) + 0.0 AS std_angle, round(sm, 4) + 0.0 AS snr_mean, round(sc, 4) + 0.0 AS snr_cov FROM angles JOIN snr USING (epsilon)""")
 def f9_privacy_tradeoff(spark, sf):
-    return privacy.privacy_tradeoff(spark, embeddings(spark, sf), 4, [1.0, 5.0, 10.0], trials=3)
+    out = privacy.privacy_tradeoff(spark, lineitem(spark, sf), 1, [1.0, 5.0, 10.0], trials=3)
+    return out.select("epsilon", *(r(c, 4).alias(c) for c in ("mean_angle", "std_angle", "snr_mean", "snr_cov")))
+
+
+@query()
+def i15_sample_sizes(spark, sf):
+    return privacy.sample_size_sweep(spark, embeddings(spark, sf), 4, [50, 100, 200], 5.0, trials=2)
 
 
 SIZES = [("none", {}), ("low_rank", {"rank": 100}), ("sketch", {"sketch": 200}), ("quantize", {"bits": 16}), ("quantize", {"bits": 8}), ("top_k", {"k": 10_000}), ("combined", {"rank": 100, "bits": 16})]
@@ -534,15 +666,28 @@ def f12_low_rank_subspace(spark, sf):
     return s.select("party", cell(0).alias("c00"), cell(1).alias("c01"), cell(2).alias("c11"))
 
 
-@query("""SELECT 1 AS checked, true AS same_width, true AS lifted, true AS aligned""")
+def _sketch_sql() -> str:
+    m = compression.Sketch(3, 1).matrix(2)
+    (p, q), (_, t) = (m.T @ m).tolist()
+    return f"""WITH {BASE}, l AS (SELECT party, {p!r} * a + {q!r} * b AS t00, {p!r} * b + {q!r} * c AS t01, {q!r} * a + {t!r} * b AS t10, {q!r} * b + {t!r} * c AS t11 FROM stats)
+SELECT party, round(t00 * {p!r} + t01 * {q!r}, 6) + 0.0 AS c00, round(t00 * {q!r} + t01 * {t!r}, 6) + 0.0 AS c01, round(t10 * {q!r} + t11 * {t!r}, 6) + 0.0 AS c11 FROM l"""
+
+
+@query(_sketch_sql())
 def f13_sketch(spark, sf):
-    """A wide sketch lifts the spectrum and keeps the first axis of a matrix with a gap."""
-    c = np.diag([50.0, 3.0, 2.0, 1.0])
-    made = compression.Sketch(3000, 1)
-    p = made.compress(c)
-    back = made.decompress(p, 4)
-    first = np.linalg.eigh(back)[1][:, -1]
-    return spark.createDataFrame([(1, p["sketch"].shape == (3000, 3000), bool(np.trace(back) > np.trace(c) * 0.9), bool(abs(first[0]) > 0.99))], "checked int, same_width boolean, lifted boolean, aligned boolean")
+    """R'(R C R')R for each party, with the R of the seed."""
+    return _restored(party_stats(lineitem(spark, sf)), compression.Sketch(3, 1))
+
+
+def _restored(stats: DataFrame, made) -> DataFrame:
+    cell = lambda k: r(F.col("m2")[k] / F.col("n"))
+    return compression.roundtrip(stats, made).select("party", cell(0).alias("c00"), cell(1).alias("c01"), cell(2).alias("c11"))
+
+
+@query(f"WITH {BASE}, {LOCAL} SELECT party, round(e1 * p * p, 6) + 0.0 AS c00, round(e1 * p * q, 6) + 0.0 AS c01, round(e1 * q * q + (a + c - e1), 6) + 0.0 AS c11 FROM lu")
+def f16_combined(spark, sf):
+    """Of two features an axis has two values, the least and the greatest, which quantisation keeps: what is left is the low rank."""
+    return _restored(party_stats(lineitem(spark, sf)), compression.Combined(compression.LowRank(1), compression.Quantize(16)))
 
 
 CELLS = f"WITH {BASE}, cells AS (SELECT party, 0 AS i, 0 AS j, a AS value FROM stats UNION ALL SELECT party, 0, 1, b FROM stats UNION ALL SELECT party, 1, 1, c FROM stats)"
@@ -566,10 +711,34 @@ def f17_compressed_fit(spark, sf):
     return components(spark, compression.CompressedPCA(2, method="none").fit(lineitem(spark, sf)).model).where("idx = 0").withColumn("ratio_kept", F.lit(1.0))
 
 
-@query()
+def _compressed_sql() -> str:
+    """Angles of the pooled model after each codec on every party's matrix, in closed form."""
+    restored = {
+        "none": "SELECT party, a, b, c FROM stats",
+        "low_rank": "SELECT party, e1 * p * p AS a, e1 * p * q AS b, e1 * q * q + (a + c - e1) AS c FROM lu",
+        "quantize": "SELECT party, trunc((a - lo) / (hi - lo) * 255) / 255 * (hi - lo) + lo AS a, trunc((b - lo) / (hi - lo) * 255) / 255 * (hi - lo) + lo AS b, trunc((c - lo) / (hi - lo) * 255) / 255 * (hi - lo) + lo AS c FROM (SELECT *, least(a, b, c) AS lo, greatest(a, b, c) AS hi FROM stats)",
+        "top_k": "SELECT party, a, CASE WHEN abs(b) > least(abs(a), abs(c)) THEN b ELSE 0 END AS b, c FROM stats",
+    }
+    ctes, rows = [], []
+    for (name, params, size, bits), sql in zip((("none", "", 4, 64), ("low_rank", "rank=1", 4, 64), ("quantize", "bits=8", 4, 8), ("top_k", "top_k=2", 8, 64)), restored.values()):
+        pooled = f"SELECT gx AS mx, gy AS my, sum(s.n * (r.a + (mx - gx) ** 2)) / nn AS a, sum(s.n * (r.b + (mx - gx) * (my - gy))) / nn AS b, sum(s.n * (r.c + (my - gy) ** 2)) / nn AS c FROM ({sql}) r JOIN stats s USING (party), tot GROUP BY gx, gy, nn"
+        ctes.append(eig(name, pooled))
+        rows.append(f"SELECT '{name}' AS method, '{params}' AS params, round(degrees(asin(least(1, abs(truth.u * o.v - truth.v * o.u)))), 4) + 0.0 AS mean_angle, round(7 * 64 / ({size} * {bits} + 192), 6) + 0.0 AS compression_ratio, round(({size} * {bits} + 192) / 8192, 6) + 0.0 AS kilobytes FROM truth, {name} o")
+    return f"WITH {BASE}, {LOCAL}, {eig('truth', POOLED)}, {', '.join(ctes)} {' UNION ALL '.join(rows)}"
+
+
+@query(_compressed_sql())
 def f20_evaluate_compression(spark, sf):
-    s = embeddings(spark, sf)
-    return compression.evaluate_compression(spark, s, party_stats(s).persist(), 8).orderBy(F.desc("compression_ratio"))
+    s = lineitem(spark, sf)
+    configs = [("none", {}), ("low_rank", {"rank": 1}), ("quantize", {"bits": 8}), ("top_k", {"top_k": 2})]
+    out = compression.evaluate_compression(spark, s, party_stats(s), 1, configs).orderBy(F.desc("compression_ratio"))
+    return out.select("method", "params", r("mean_angle", 4).alias("mean_angle"), r("compression_ratio").alias("compression_ratio"), r("kilobytes").alias("kilobytes"))
+
+
+@query("SELECT CAST(k AS INTEGER) AS line_no, line FROM (VALUES (0, 'method quantize, 3 parties, 2 features'), (1, '  original_size: 7'), (2, '  compressed_size: 4'), (3, '  compression_ratio: 2.0000'), (4, '  bits_per_value: 8'), (5, '  total_bits: 224')) t(k, line)")
+def f19_compression_report(spark, sf):
+    lines = compression.CompressedPCA(1, method="quantize", bits=8).fit(lineitem(spark, sf)).compression_report().split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "line_no int, line string")
 
 
 @query("SELECT 'full' AS method, round(8.0 * 3072 * 3072 / 1e6, 6) AS megabytes, 0.0 AS savings UNION ALL SELECT 'low_rank_' || k, round(8.0 * (3072 * k + k + 1) / 1e6, 6), round(100 * (1 - (3072 * k + k + 1) / (3072.0 * 3072)), 6) FROM (VALUES (100), (200)) t(k) UNION ALL SELECT 'quantize_' || b, round(3072 * 3072 * b / 8 / 1e6, 6), round(100 * (1 - b / 64.0), 6) FROM (VALUES (8), (16)) t(b)")
@@ -581,9 +750,12 @@ def i16_bandwidth(spark, sf):
 
 
 def _two(spark, sf):
+    """Samples, their pooled moments, and the models of P-COV and AP-COV."""
     s = lineitem(spark, sf)
     stats = party_stats(s).persist(StorageLevel.MEMORY_AND_DISK)
-    return s, stats, combine.pcov(stats, 1), combine.apcov(stats, 1)
+    out = s, combine.pooled_moments(stats), combine.pcov(stats, 1), combine.apcov(stats, 1)
+    stats.unpersist()
+    return out
 
 
 @query(ANGLE + " SELECT round(asin(sin), 6) + 0.0 AS angle, round(degrees(asin(sin)), 6) + 0.0 AS degrees, round(cos, 6) + 0.0 AS alignment, round(asin(sin), 6) + 0.0 AS grassmann, round(sin, 6) + 0.0 AS chordal, round(sin, 6) + 0.0 AS projection, round(cos, 6) + 0.0 AS correlation, round(cos * cos, 6) + 0.0 AS overlap FROM d")
@@ -618,8 +790,7 @@ def h10_error_ratio(spark, sf):
 @query(SCORES + " SELECT round(l2 / 2, 6) + 0.0 AS mse, round(l1 / (a + c + 1e-10), 6) + 0.0 AS retention, round(l1 / (a + c + 1e-10), 6) + 0.0 AS ratio FROM p")
 def h13_variance_from_statistics(spark, sf):
     """Reconstruction error, retention and ratio from the statistics table, without a scan of rows."""
-    _, stats, p, _ = _two(spark, sf)
-    m = combine.pooled_moments(stats)
+    _, m, p, _ = _two(spark, sf)
     return numbers(spark, mse=metrics.mse_from_moments(m, p), retention=metrics.variance_retention(m, p), ratio=metrics.explained_variance_ratio(p, m, recompute=True)[0])
 
 
@@ -664,7 +835,7 @@ def h15_logistic(spark, sf):
 @query()
 def h15_svm(spark, sf):
     s = embeddings(spark, sf)
-    return downstream.evaluate_classification(s.where("row_id % 5 != 0"), s.where("row_id % 5 = 0"), "svm", width=128)
+    return downstream.evaluate_classification(s.where("row_id % 5 != 0"), s.where("row_id % 5 = 0"), "svm")
 
 
 @query("SELECT 0.0 AS accuracy_difference, 0.0 AS f1_difference")
@@ -721,24 +892,88 @@ def i5_grid(spark, sf):
     return experiment.grid(spark, [("iid", {}), ("dirichlet", {"alpha": 0.5}), ("shard", {})], [5, 10, 50], [10, 50])
 
 
-@query()
+def _card_sql(party: str, more: str = "") -> str:
+    """Scores of P-COV and AP-COV with one component, over parties that an SQL expression names."""
+    base = BASE.replace("SELECT party, count(*) AS n", f"SELECT {party} AS party, count(*) AS n").replace("FROM samples GROUP BY party)", "FROM samples GROUP BY 1)")
+    part = lambda m, rounds, angle, cos, axis: f"SELECT {more} '{m}' AS method, CAST(1 AS INTEGER) AS n_components, round({angle}, 4) + 0.0 AS mean_angle, round({angle}, 4) + 0.0 AS max_angle, round({cos}, 6) + 0.0 AS alignment, round((p.a + p.c - ({axis}.u * {axis}.u * p.a + 2 * {axis}.u * {axis}.v * p.b + {axis}.v * {axis}.v * p.c)) / 2, 6) + 0.0 AS reconstruction_mse, round({axis}.l1 / ({axis}.a + {axis}.c), 6) + 0.0 AS explained, CAST({rounds} AS INTEGER) AS rounds, 48 * kk AS total_bytes FROM p, q, tot"
+    return f"SELECT * FROM (WITH {base}, {eig('p', POOLED)}, {eig('q', AVERAGED)} {part('P-COV', 2, '0.0', '1.0', 'p')} UNION ALL {part('AP-COV', 1, 'degrees(asin(abs(p.u * q.v - p.v * q.u)))', 'abs(p.u * q.u + p.v * q.v)', 'q')})"
+
+
+def _card(card: DataFrame, *more: str) -> DataFrame:
+    return card.select(*more, "method", "n_components", *(r(c, n).alias(c) for c, n in (("mean_angle", 4), ("max_angle", 4), ("alignment", 6), ("reconstruction_mse", 6), ("explained", 6))), "rounds", "total_bytes")
+
+
+@query(_card_sql("party"))
 def i3_scorecard(spark, sf):
+    return _card(experiment.scorecard(spark, lineitem(spark, sf), None, 1, ["P-COV", "AP-COV"]))
+
+
+@query()
+def i3_scorecard_embeddings(spark, sf):
+    """All methods, with nearest-neighbour accuracy."""
     s = embeddings(spark, sf)
     return experiment.scorecard(spark, s.where("row_id % 5 != 0"), s.where("row_id % 5 = 0"), 8)
 
 
-@query()
+def _sweep_sql() -> str:
+    u = U.format(seed=42).replace("vec_id", "row_id")
+    cells = []
+    for k in (2, 4):
+        cuts = ", ".join(repr(float(x)) for x in np.cumsum(DataPartitioner(k).quantity_shares(1.5))[:-1])
+        for name, parameter, party in (("iid", 0.0, f"floor({u} * {k})"), ("quantity_skew", 1.5, f"len(list_filter([{cuts}], lambda s: s <= {u}))")):
+            cells.append(_card_sql(party, f"'{name}' AS partition, CAST({parameter} AS DOUBLE) AS parameter, CAST({k} AS INTEGER) AS num_clients,"))
+    return " UNION ALL ".join(cells)
+
+
+@query(_sweep_sql())
 def i6_sweep(spark, sf):
-    return experiment.sweep(spark, embeddings(spark, sf), [("iid", {}), ("dirichlet", {"alpha": 0.5})], [4], [4], ["P-COV", "AP-COV"])
+    out = experiment.sweep(spark, lineitem(spark, sf), [("iid", {}), ("quantity_skew", {"power": 1.5})], [2, 4], [1], ["P-COV", "AP-COV"])
+    return _card(out, "partition", "parameter", "num_clients")
+
+
+SWEPT = [(p, a, k, m, round(0.01 * (1 + a) * k + 0.2 * (m == "AP-COV"), 4)) for p, a in (("dirichlet", 0.1), ("dirichlet", 1.0), ("iid", 0.0)) for k in (5, 20) for m in ("AP-COV", "P-COV")]
+SWEPT_SQL = "t AS (SELECT partition, CAST(parameter AS DOUBLE) AS parameter, CAST(num_clients AS INTEGER) AS num_clients, method, CAST(mean_angle AS DOUBLE) AS mean_angle FROM (VALUES " + ", ".join(map(str, SWEPT)) + ") v(partition, parameter, num_clients, method, mean_angle))"
+
+
+def _swept(spark):
+    return spark.createDataFrame(SWEPT, "partition string, parameter double, num_clients int, method string, mean_angle double")
+
+
+@query(f"WITH {SWEPT_SQL} SELECT method, round(avg(mean_angle), 6) AS value FROM t GROUP BY method")
+def h19_metric_bars(spark, sf):
+    return experiment.metric_bars(_swept(spark), "mean_angle").select("method", r("value").alias("value"))
+
+
+@query(f"WITH {SWEPT_SQL} SELECT parameter, method, round(avg(mean_angle), 6) AS value FROM t WHERE partition = 'dirichlet' GROUP BY ALL")
+def h21_robustness(spark, sf):
+    return experiment.robustness(_swept(spark)).select("parameter", "method", r("value").alias("value"))
+
+
+@query(f"WITH {SWEPT_SQL} SELECT num_clients, method, round(avg(mean_angle), 6) AS value FROM t GROUP BY ALL")
+def h22_scalability(spark, sf):
+    return experiment.scalability(_swept(spark)).select("num_clients", "method", r("value").alias("value"))
+
+
+@query(f"WITH {SWEPT_SQL} SELECT partition, num_clients, method, mean_angle FROM t WHERE partition = 'iid'")
+def i7_summary(spark, sf):
+    return experiment.summary(_swept(spark), "iid").select("partition", "num_clients", "method", "mean_angle")
+
+
+@query(SCORES + " SELECT row_id, label, round(z, 4) + 0.0 AS x FROM z")
+def i17_cached_projection(spark, sf):
+    """Scores held once, read for points."""
+    s = lineitem(spark, sf)
+    held = experiment.Projection(estimator("P-COV", 1).fit(s).model, s)
+    return held.points(0, 0).select("row_id", "label", r("x", 4).alias("x"))
 
 
-@query(f"WITH {BASE}, {eig('p', POOLED)} SELECT row_id, round((x - mx) * u + (y - my) * v, 4) + 0.0 AS score, round(sqrt(x * x + y * y), 4) + 0.0 AS norm FROM samples, p WHERE label = 1")
+@query(f"WITH {BASE}, {eig('p', POOLED)} SELECT row_id, round((x - mx) * u + (y - my) * v, 4) + 0.0 AS score, round(sqrt(x * x + y * y), 4) + 0.0 AS norm FROM samples, p")
 def j_sql_functions(spark, sf):
     """The model through SQL: registered functions on a view."""
     s = lineitem(spark, sf)
     m = estimator("P-COV", 1).fit(s).model
     sql_functions.register(spark)
-    s.where("label = 1").createOrReplaceTempView("eigenweave_samples")
+    s.createOrReplaceTempView("eigenweave_samples")
     array = lambda xs: "array(" + ", ".join(f"{float(x)!r}D" for x in xs) + ")"
     return spark.sql(f"SELECT row_id, round(pca_project(features, {array(m.mean)}, array({array(m.components[0])}))[0], 4) + 0.0 AS score, round(vec_norm(features), 4) + 0.0 AS norm FROM eigenweave_samples")
 

@@ -2,7 +2,9 @@
 
 Every rule maps a row's own fixed uniform number u(row_id, seed) through tables of one row a label
 or a party, so nothing is sorted, shuffled or ranked, and a rerun with any partitioning assigns
-alike. Shares hold in expectation, with the deviation of a random draw.
+alike. Shares hold in expectation, with the deviation of a random draw. `iid` and `shard` also deal
+exactly equal parts (exact=True), by a rank that needs no sort of the whole: rows are counted by
+label and leading bits of their number, and ranked within such a bucket only.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labels whose tables may travel as literals of the plan.
@@ -39,7 +41,10 @@ class DataPartitioner:
         party = F.least(F.size(F.filter(shares, lambda s: s <= F.col("__u"))), F.lit(self.num_clients - 1))
         return frame.withColumn("__u", u).withColumn("party", party.cast("int")).drop("__u")
 
-    def iid(self, frame: DataFrame) -> DataFrame:
+    def iid(self, frame: DataFrame, exact: bool = False) -> DataFrame:
+        if exact:  # rank modulo parties: sizes differ by one at most
+            ranked = _ranked(frame, F.lit(0), self.seed)
+            return ranked.withColumn("party", F.pmod("__rank", F.lit(self.num_clients)).cast("int")).select(*frame.columns)
         party = F.floor(uniform("row_id", self.seed) * self.num_clients)
         return frame.withColumn("party", party.cast("int"))
 
@@ -55,8 +60,8 @@ class DataPartitioner:
         table = _literal_map({x: np.cumsum(s)[:-1].tolist() for x, s in shares.items()})
         return self._place(frame, F.coalesce(table[F.col("label")], F.array().cast("array<double>")))
 
-    def shard(self, frame: DataFrame, shards_per_client: int = 2) -> DataFrame:
-        """Rows in label order cut into equal shards, which are dealt to the parties at random."""
+    def shard(self, frame: DataFrame, shards_per_client: int = 2, exact: bool = False) -> DataFrame:
+        """Rows in label order cut into equal shards, which are dealt to the parties at random. Rows without a label have no place: exact deals them as a label after the others, else their party is null."""
         total = self.num_clients * shards_per_client
         counts = {r["label"]: r["count"] for r in _counted(frame)}
         n, at, starts = sum(counts.values()), 0, {}
@@ -67,6 +72,10 @@ class DataPartitioner:
         position = place[0] + uniform("row_id", self.seed) * place[1]
         deal = np.random.RandomState(self.seed).permutation(total) // shards_per_client
         owner = F.array(*(F.lit(int(p)) for p in deal))
+        if exact:
+            ranked, n = _ranked(frame, F.col("label"), self.seed), frame.count()
+            at = F.least(F.floor(F.col("__rank") * total / F.lit(max(n, 1))), F.lit(total - 1)).cast("int")
+            return ranked.withColumn("party", F.element_at(owner, at + 1)).select(*frame.columns)
         at = F.least(F.floor(position * total), F.lit(total - 1)).cast("int")
         return frame.withColumn("party", F.element_at(owner, at + 1))
 
@@ -85,6 +94,20 @@ class DataPartitioner:
         return kinds[kind](frame, **params)
 
 
+def _ranked(frame: DataFrame, label: Column, seed: int, bits: int = 12) -> DataFrame:
+    """frame with __rank from 0, in order of label (null last) and the row's fixed number; ties by row_id.
+
+    The windows over buckets hold one row a bucket; rows are ranked inside a bucket of 2^-bits of a label.
+    """
+    rows = frame.withColumn("__u", uniform("row_id", seed)).withColumn("__l", label).withColumn("__b", F.floor(F.col("__u") * (1 << bits)))
+    sizes = rows.groupBy("__l", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy(F.col("__l").isNull(), "__l", "__b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("__l").alias("__sl"), F.col("__b").alias("__sb"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    rows = rows.join(sizes, F.col("__l").eqNullSafe(F.col("__sl")) & (F.col("__b") == F.col("__sb")))
+    inside = F.row_number().over(Window.partitionBy("__l", "__b").orderBy("__u", "row_id")) - 1
+    return rows.withColumn("__rank", F.col("__before") + inside)
+
+
 def _counted(frame: DataFrame) -> list:
     rows = frame.where("label is not null").groupBy("label").count().limit(MAX_LABELS + 1).collect()
     if len(rows) > MAX_LABELS:

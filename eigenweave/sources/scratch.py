@@ -13,11 +13,14 @@ from pyspark.sql import SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The cluster names it in spark.checkpoint.dir.
 
-    Where that is unset (tests on one machine) a temporary folder becomes the checkpoint folder of
-    the session's context.
+    Where that is unset and the master is local (tests on one machine) a temporary folder becomes
+    the checkpoint folder of the session's context; on a cluster it is an error, as executors don't
+    share the driver's folders.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="eigenweave-")
         atexit.register(shutil.rmtree, named[7:], ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)

@@ -36,3 +36,11 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def text_report(spark: SparkSession, lines: str) -> DataFrame:
     """A report's lines as rows (line_no, line)."""
     return spark.createDataFrame(list(enumerate(lines.split("\n"))), "line_no int, line string")
+
+
+def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file through Spark's file system, for any store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(data)
+    out.close()

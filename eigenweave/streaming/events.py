@@ -1,11 +1,13 @@
 """Structured Streaming: a stream of client events to versioned models.
 
 events(seq, op, mode, client_id, features): `add` opens a client, `update` replaces or appends,
-`remove` closes. State is one (n, sum, second moments) per client in the state store, checkpointed
-by Spark, so that a lost executor resumes. Events of a client in one batch apply in order of seq;
-an event that cannot apply (add of a client that exists, update or remove of one that doesn't) goes out
-as a rejected row and changes nothing. Each batch that changes a client puts out its new statistics; foreachBatch
-keeps the latest by client and publishes a model under the batch's id, which makes a repeated batch harmless.
+`remove` closes. The rows of one event share its seq, op and mode, and may come in several batches:
+those that come later go on with it. State is one (n, mean, second moments) per client in the state store,
+checkpointed by Spark, so that a lost executor resumes. Events of a client in one batch apply in order of
+seq. An event that cannot apply (add of a client that exists, update or remove of one that doesn't, or a seq
+that is past already) goes out as a rejected row with its reason and changes nothing. Each batch
+that changes a client puts out its new statistics; foreachBatch joins them with the table of the batch before,
+one row a client, and publishes table and model under the batch's id, which makes a repeated batch harmless.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -24,38 +26,75 @@ from ..operators.model import PCAModel
 from ..operators.stats import Moments
 
 EVENTS = "seq long, op string, mode string, client_id string, features array<double>"
-OUT = "client_id string, status string, seq long, n long, mean array<double>, m2 array<double>"
-STATE = "seq long, n long, mean array<double>, m2 array<double>"
+OUT = "client_id string, status string, reason string, seq long, n long, mean array<double>, m2 array<double>"
+STATE = "seq long, op string, mode string, n long, mean array<double>, m2 array<double>"
+
+
+class Rows:
+    """Rows of one event on their way to moments: kept until there are more than features, then folded."""
+
+    def __init__(self) -> None:
+        self.count, self.rows, self.held = 0, [], None
+
+    def add(self, x: np.ndarray) -> None:
+        self.rows.append(x)
+        self.count += len(x)
+        if sum(map(len, self.rows)) > max(64, x.shape[1]):
+            self._fold()
+
+    def _fold(self) -> None:
+        new = Moments.of(np.concatenate(self.rows))
+        self.held, self.rows = new if self.held is None else self.held.merge(new), []
+
+    def moments(self) -> Moments:
+        if self.rows:
+            self._fold()
+        return self.held
 
 
 def _apply(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held, last = None, -1
+    held, last = None, (-1, "", "")
     if state.exists:
-        last, n, mean, m2 = state.get
+        *last, n, mean, m2 = state.get
+        last = tuple(last)
         if n > 0:
             held = Moments(n, np.array(mean), unpack(np.array(m2), len(mean)))
-    rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+    events: dict[tuple, Rows] = {}
+    for pdf in frames:
+        for at, part in pdf.fillna({"mode": ""}).groupby(["seq", "op", "mode"], sort=False):
+            rows = events.setdefault((int(at[0]), *at[1:]), Rows())
+            if at[1] != "remove":
+                rows.add(np.stack(part["features"].to_numpy()))
     out, changed = [], False
-    for (seq, op, mode), part in rows.fillna({"mode": ""}).groupby(["seq", "op", "mode"], sort=True):
-        if seq <= last:  # applied before
-            continue
-        ok = held is None if op == "add" else held is not None and (op == "remove" or (op == "update" and mode in ("replace", "append")))
-        if not ok:
-            out.append((key[0], "rejected", int(seq), 0, None, None))
+    for event in sorted(events, key=lambda e: (e[0], ("add", "update", "remove").index(e[1]) if e[1] in ("add", "update", "remove") else 3, e[2])):
+        seq, op, mode = event
+        more = event == last  # rows of the event that came last
+        why = None
+        if not more:
+            if seq < last[0]:
+                why = "late"
+            elif op == "add":
+                why = None if held is None else "exists"
+            elif op in ("update", "remove") and held is None:
+                why = "unknown client"
+            elif op not in ("update", "remove") or op == "update" and mode not in ("replace", "append"):
+                why = "unknown operation"
+        if why:
+            out.append((key[0], "rejected", why, seq, 0, None, None))
             continue
-        changed, last = True, int(seq)
+        changed, last = True, event
         if op == "remove":
             held = None
-            continue
-        new = Moments.of(np.stack(part["features"].to_numpy()))
-        held = held.merge(new) if held is not None and mode == "append" else new
+        else:
+            new = events[event].moments()
+            held = held.merge(new) if held is not None and (more or mode == "append") else new
     if changed:
         empty = held is None
         values = (0, [], []) if empty else (held.n, held.mean.tolist(), pack(held.m2).tolist())
-        state.update((last, *values))
-        out.append((key[0], "removed" if empty else "current", last, *values))
+        state.update((*last, *values))
+        out.append((key[0], "removed" if empty else "current", None, last[0], *values))
     if out:
-        yield pd.DataFrame(out, columns=["client_id", "status", "seq", "n", "mean", "m2"])
+        yield pd.DataFrame(out, columns=["client_id", "status", "reason", "seq", "n", "mean", "m2"])
 
 
 def client_changes(events: DataFrame) -> DataFrame:
@@ -63,22 +102,47 @@ def client_changes(events: DataFrame) -> DataFrame:
     return events.groupBy("client_id").applyInPandasWithState(_apply, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def current(changes: DataFrame) -> DataFrame:
-    """The statistics table after a log of changes: each client's last, removed ones left out."""
-    w = Window.partitionBy("client_id").orderBy(F.desc("seq"))
-    last = changes.where("status != 'rejected'").withColumn("r", F.row_number().over(w)).where("r = 1 and status = 'current'")
-    return last.select(F.col("client_id").alias("party"), "n", "mean", "m2")
+def advanced(before: DataFrame | None, changes: DataFrame) -> DataFrame:
+    """The table (client_id, n, mean, m2), one row a client, after a batch of changes."""
+    new = changes.where("status != 'rejected'")
+    now = new.where("status = 'current'").select("client_id", "n", "mean", "m2")
+    return now if before is None else before.join(new.select("client_id"), "client_id", "left_anti").unionByName(now)
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The batch ids under folder, rising."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in files.listStatus(path)] if files.exists(path) else []
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The statistics table after the last batch: party, n, mean, m2; removed clients are left out."""
+    last = versions(spark, f"{path}/current")[-1]
+    return spark.read.parquet(f"{path}/current/batch={last}").withColumnRenamed("client_id", "party")
+
 
+def run_models(events: DataFrame, k: int, path: str, checkpoint: str, keep: int = 2):
+    """Start a query that after each batch writes its changes, the clients' table and a model; returns it.
 
-def run_models(events: DataFrame, k: int, path: str, checkpoint: str):
-    """Start a query that logs changes under path/changes/batch=<id> and writes a model to path/models/<id> after each batch; returns it."""
+    Under path: changes/batch=<id> (rejected events too), current/batch=<id> of the last `keep` batches,
+    models/<id>. A batch reads the table before it, never the log, so its cost follows its clients.
+    """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
-        stats = current(spark.read.option("basePath", f"{path}/changes").parquet(f"{path}/changes"))
+        changes = spark.read.parquet(f"{path}/changes/batch={batch_id}")
+        older = [v for v in versions(spark, f"{path}/current") if v < batch_id]
+        before = spark.read.parquet(f"{path}/current/batch={older[-1]}") if older else None
+        advanced(before, changes).write.mode("overwrite").parquet(f"{path}/current/batch={batch_id}")
+        stats = spark.read.parquet(f"{path}/current/batch={batch_id}").withColumnRenamed("client_id", "party")
         if not stats.isEmpty():
             pcov(stats, k).save(spark, f"{path}/models/{batch_id}")
+        for v in older[: max(0, len(older) + 1 - keep)]:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current/batch={v}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return client_changes(events).writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -2,17 +2,92 @@
 
 The driver-side class serves interactive use: its state is one (n, mean, M2) per party, and the
 global moments are merged and un-merged as parties change, with a full rebuild after `threshold`
-updates. Parties' rows are Spark frames; only their statistics reach the driver.
+updates. Parties' rows are Spark frames. Parties that come as a frame or a table stay in a written
+table of statistics; the driver holds their row counts, the global moments and, of parties that
+change one by one, at most HELD_BYTES of matrices, which go to the table beyond that. One party's
+moments are read back when it changes.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.combine import from_covariance
+from ..operators.combine import from_covariance, pooled_moments
+from ..operators.linalg import pack
 from ..operators.model import NotFitted, PCAModel
 from ..operators.stats import Moments, as_moments, party_stats
+from ..sources.scratch import scratch
+
+HELD_BYTES = 256 << 20
+TABLE = "party string, n long, mean array<double>, m2 array<double>"
+
+
+class Clients:
+    """Each client's moments, by name: in memory for the latest, in written tables for the others."""
+
+    def __init__(self, held_bytes: int = HELD_BYTES):
+        self.sizes: dict[str, int] = {}
+        self.held_bytes = held_bytes
+        self._own: dict[str, Moments] = {}
+        self._at: dict[str, int] = {}
+        self._tables: list[DataFrame] = []
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.sizes
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def __iter__(self):
+        return iter(self.sizes)
+
+    def load(self, stats: DataFrame) -> None:
+        """Take all parties of a statistics table, which is written."""
+        path = scratch(stats.sparkSession, "clients")
+        stats.select(F.col("party").cast("string").alias("party"), "n", "mean", "m2").write.parquet(path)
+        self._tables.append(stats.sparkSession.read.schema(TABLE).parquet(path))
+        for r in self._tables[-1].select("party", "n").orderBy("party").collect():
+            self.sizes[str(r["party"])] = r["n"]
+            self._at[str(r["party"])] = len(self._tables) - 1
+            self._own.pop(str(r["party"]), None)
+
+    def __getitem__(self, name: str) -> Moments:
+        if name in self._own:
+            return self._own[name]
+        return as_moments(self._tables[self._at[name]].where(F.coalesce("party", F.lit("None")) == name).first())
+
+    def __setitem__(self, name: str, m: Moments) -> None:
+        self.sizes[name] = m.n
+        self._own[name] = m
+        self._at.pop(name, None)
+        spark = SparkSession.getActiveSession()
+        if spark and sum(x.m2.nbytes for x in self._own.values()) > self.held_bytes:
+            rows = pd.DataFrame([(k, x.n, x.mean.tolist(), pack(x.m2).tolist()) for k, x in self._own.items()], columns=["party", "n", "mean", "m2"])
+            self._own = {}
+            self.load(spark.createDataFrame(rows, TABLE))
+
+    def pop(self, name: str) -> Moments:
+        m = self[name]
+        del self.sizes[name]
+        self._own.pop(name, None)
+        self._at.pop(name, None)
+        return m
+
+    def pooled(self) -> Moments | None:
+        """All clients' moments together, merged on the executors where they lie."""
+        total = None
+        for m in self._own.values():
+            total = m if total is None else total.merge(m)
+        for k, table in enumerate(self._tables):
+            live = [name for name, at in self._at.items() if at == k]
+            if live:
+                names = table.sparkSession.createDataFrame([(x,) for x in live], "live string")
+                m = pooled_moments(table.join(names, F.coalesce("party", F.lit("None")) == F.col("live"), "left_semi"))
+                total = m if total is None else total.merge(m)
+        return total
 
 
 class StreamingPCA:
@@ -22,7 +97,7 @@ class StreamingPCA:
         if n_components < 1:
             raise ValueError("n_components must be at least 1")
         self.n_components, self.threshold = n_components, threshold
-        self.clients: dict[str, Moments] = {}
+        self.clients = Clients()
         self.history: list[tuple[str, str, int]] = []
         self.total: Moments | None = None
         self.update_counter = self._since = self._clock = 0
@@ -38,8 +113,6 @@ class StreamingPCA:
     @staticmethod
     def statistics(rows: DataFrame) -> Moments:
         """One client's rows (any party column is ignored) as moments."""
-        from pyspark.sql import functions as F
-
         got = party_stats(rows.withColumn("party", F.lit(0))).collect()
         if not got:
             raise ValueError("no rows")
@@ -47,9 +120,14 @@ class StreamingPCA:
 
     def fit(self, samples: DataFrame) -> StreamingPCA:
         """Add every party of a samples frame, from one aggregation; an id that is there already is an error."""
-        rows = party_stats(samples).orderBy("party").collect()
-        for r in rows:
-            self.add_client(str(r["party"]), as_moments(r), recompute=False)
+        stats = party_stats(samples)
+        before = set(self.clients)
+        if before and (twice := before & {str(r["party"]) for r in samples.select("party").distinct().collect()}):
+            raise ValueError(f"clients exist: {', '.join(sorted(twice))}")
+        self.clients.load(stats)
+        for name in self.clients:
+            if name not in before:
+                self._enter("add", name, recompute=False)
         return self.recompute()
 
     def _enter(self, action: str, client: str, recompute: bool) -> None:
@@ -100,9 +178,7 @@ class StreamingPCA:
 
     def recompute(self) -> StreamingPCA:
         """Global moments anew from the clients', then the model. Without clients there is no model."""
-        self.total = None
-        for m in self.clients.values():
-            self.total = m if self.total is None else self.total.merge(m)
+        self.total = self.clients.pooled()
         self._since = 0
         return self._decompose()
 
@@ -115,11 +191,12 @@ class StreamingPCA:
 
     def aggregate(self, stats: DataFrame) -> StreamingPCA:
         """Replace the federation by a statistics table; history and counter stay."""
-        self.clients = {str(r["party"]): as_moments(r) for r in stats.orderBy("party").collect()}
+        self.clients = Clients()
+        self.clients.load(stats)
         return self.recompute()
 
     def contribution(self, client: str) -> float:
-        return self.clients[client].n / self.total.n if client in self.clients else 0.0
+        return self.clients.sizes[client] / self.total.n if client in self.clients else 0.0
 
     def status(self, spark: SparkSession) -> DataFrame:
         """One row on the federation and its model."""
