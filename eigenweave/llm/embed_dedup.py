@@ -2,8 +2,10 @@
 
 Equal vectors of a label form a class first; classes are compared, and counted by their sizes. The
 classes of a label are cut into strips along the first principal component and the strips into
-blocks of bounded size; a tile is a pair of blocks whose strips come near enough for the threshold
-(unit vectors with cosine c are sqrt(2 - 2c) apart, and no more along any axis). In a tile, products
+blocks of bounded bytes; a tile is a pair of blocks whose strips come near enough for the threshold
+(unit vectors with cosine c are sqrt(2 - 2c) apart, and no more along any axis). A vector is shuffled
+once for each tile it is in, so blocks are as large as memory allows, and a tile takes its rows in
+order of the first component and INNER at a time, again only where they come near. There, products
 are accumulated over the leading components first. After each step the rest of a product is at
 most the product of the two suffix norms; pairs that cannot reach the threshold any more drop out,
 and a tile stops when none is left. What remains is checked in the original coordinates in double
@@ -23,10 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import check_input, written
+from .common import check_input, kept, written
 from .components import connected_components, forest
 
-SAMPLE, BLOCK, STRIPS = 4096, 2048, 64
+SAMPLE, STRIPS = 4096, 1024
+#: Bytes and rows of a block at most, and rows compared at once.
+BLOCK_BYTES, BLOCK, INNER = 8 << 20, 8192, 2048
 #: Components after which products are bounded, and the share of pairs below which single pairs are followed.
 STEPS, SPARSE = (8, 16, 32, 64, 128, 256, 512), 0.02
 SLACK = 1e-9
@@ -72,7 +76,42 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: floa
     return i[keep], j[keep]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = BLOCK) -> DataFrame:
+def tile_links(a: np.ndarray, b: np.ndarray, weight_a: np.ndarray, weight_b: np.ndarray, axes: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows of a, then b (a alone if same): the weight of the rows they link with, and edges (i, j) that connect what links connect.
+
+    Links are counted as they are found and edges kept as a forest, so memory is that of INNER rows'
+    products whatever the number of links.
+    """
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+    place = lambda v: (v @ axes[:, 0]) / np.linalg.norm(v, axis=1)
+    pa_ = place(a)
+    order_a = np.argsort(pa_, kind="stable")
+    pb, order_b = (pa_, order_a) if same else (pb := place(b), np.argsort(pb, kind="stable"))
+    base = 0 if same else len(a)
+    total, edges = np.zeros(len(a) + (0 if same else len(b))), []
+    for s in range(0, len(a), INNER):
+        left = order_a[s : s + INNER]
+        for t in range(s if same else 0, len(b), INNER):
+            right = order_b[t : t + INNER]
+            if max(pb[right[0]] - pa_[left[-1]], pa_[left[0]] - pb[right[-1]]) > reach:
+                continue
+            diagonal = same and s == t
+            i, j = linked_pairs(a[left], b[right], axes, threshold, diagonal)
+            if not len(i):
+                continue
+            total[left] += np.bincount(i, weight_b[right[j]], len(left))
+            total[base + right] += np.bincount(j, weight_a[left[i]], len(right))
+            ends = np.concatenate((left, base + right))
+            low = forest(len(ends), *((i, j) if diagonal else (i, len(left) + j)))
+            if diagonal:
+                low = np.concatenate((low[: len(left)], low[: len(right)]))
+            on = np.flatnonzero(low != np.arange(len(ends)))
+            edges.append((ends[on], ends[low[on]]))
+    i, j = (np.concatenate(x) for x in zip(*edges)) if edges else (np.zeros(0, int), np.zeros(0, int))
+    return total, i, j
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int | None = None) -> DataFrame:
     """(id, n_links long, component_id, kept boolean) for each row of vectors.
 
     Vectors are linked if their labels are equal and not null, their lengths are equal and their
@@ -101,25 +140,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     sample = classes.where(F.col("dim") == dims[0]).orderBy(F.xxhash64("c")).limit(SAMPLE).select("v").collect()
     axes = basis(np.array([r["v"] for r in sample]))
 
+    block = block or max(256, min(BLOCK, BLOCK_BYTES // (8 * dims[0])))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     along = F.aggregate(F.zip_with("v", F.array(*map(F.lit, map(float, axes[:, 0]))), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))) / norm
     group = ["label", "dim"]
     placed = classes.select("c", "n", "v", *group, along.alias("p"))
     cuts = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("all"), F.percentile_approx("p", [k / STRIPS for k in range(1, STRIPS)], 1000).alias("cuts"))
     strips = F.least(F.lit(STRIPS), F.ceil(F.col("all") / block))
-    placed = placed.join(written(cuts, "cuts"), group).withColumn("strip", F.floor(F.size(F.filter("cuts", lambda x: x < F.col("p"))) * strips / STRIPS)).drop("all", "cuts")
-    counts = written(placed.groupBy(*group, "strip").agg(F.ceil(F.count(F.lit(1)) / block).alias("subs")), "strips")
+    placed = placed.join(kept(cuts), group).withColumn("strip", F.floor(F.size(F.filter("cuts", lambda x: x < F.col("p"))) * strips / STRIPS)).drop("all", "cuts")
+    counts = kept(placed.groupBy(*group, "strip").agg(F.ceil(F.count(F.lit(1)) / block).alias("subs")))
     placed = placed.join(counts, [*group, "strip"]).withColumn("sub", F.pmod(F.xxhash64("c"), "subs"))
     placed = written(placed.select("c", "n", "v", "p", *group, "strip", "sub"), "placed")
 
     blocks = placed.groupBy(*group, "strip", "sub").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
-    blocks = written(blocks.withColumn("b", F.monotonically_increasing_id()), "blocks")
+    blocks = kept(blocks.withColumn("b", F.monotonically_increasing_id()))
     left, right = (blocks.select(*group, *(F.col(c).alias(f"{c}{s}") for c in ("strip", "sub", "lo", "hi", "b"))) for s in (1, 2))
     ordered = (F.col("strip1") < F.col("strip2")) | ((F.col("strip1") == F.col("strip2")) & (F.col("sub1") <= F.col("sub2")))
     near = F.col("lo2") - F.col("hi1") <= math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
-    tiles = written(left.join(right, group).where(ordered & near).select("b1", "b2").withColumn("tile", F.monotonically_increasing_id()), "tiles")
+    tiles = kept(left.join(right, group).where(ordered & near).select("b1", "b2").withColumn("tile", F.monotonically_increasing_id()))
     member = placed.join(blocks.drop("lo", "hi"), [*group, "strip", "sub"]).select("b", "c", "n", "v")
-    member = written(member, "members")
     first = member.join(tiles.select(F.col("b1").alias("b"), "tile", (F.col("b1") == F.col("b2")).alias("same")), "b").withColumn("side", F.lit(0))
     second = member.join(tiles.where("b1 != b2").select(F.col("b2").alias("b"), "tile", F.lit(False).alias("same")), "b").withColumn("side", F.lit(1))
 
@@ -129,11 +168,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         va = np.stack(a.v.to_numpy())
         vb = va if same else np.stack(b.v.to_numpy())
         own = axes if axes.shape[0] == va.shape[1] else np.eye(va.shape[1])
-        i, j = linked_pairs(va, vb, own, threshold, same)
+        wa, wb = a.n.to_numpy(), b.n.to_numpy()
+        links, i, j = tile_links(va, vb, wa, wb, own, threshold, same)
         c = a.c.to_numpy() if same else np.concatenate((a.c.to_numpy(), b.c.to_numpy()))
-        n = a.n.to_numpy() if same else np.concatenate((a.n.to_numpy(), b.n.to_numpy()))
-        j = j if same else j + len(a)
-        links = np.bincount(i, n[j], len(c)) + np.bincount(j, n[i], len(c))
         low = forest(len(c), i, j)
         on = links > 0
         return pd.DataFrame({"c": c[on], "links": links[on].astype(np.int64), "root": c[low][on]})
@@ -144,7 +181,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     roots = connected_components(linked.select(F.col("c").alias("src"), F.col("root").alias("dst")))
     named = classes.select("c", "rep", "n", *key).join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     named = written(named.join(totals, "c", "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("n") - 1), "named")
-    least = written(named.groupBy("root").agg(F.min("rep").alias("component")), "least")
+    least = kept(named.groupBy("root").agg(F.min("rep").alias("component")))
     known = written(named.join(least, "root").select(*key, "links", "component"), "known")
     out = plain.where("good").join(known, key).select("id", "links", "component")
     out = out.unionByName(plain.where("not good").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component")))
