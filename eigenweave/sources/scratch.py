@@ -33,6 +33,6 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete what this application has written below the shared folder. Results that still read it must be done."""
+    """Delete what this application has written below the shared folder. Results that still read them must be done."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/eigenweave/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
