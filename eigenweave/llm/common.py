@@ -23,6 +23,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """written(), for what aggregation has made small beside the data.
+
+    Adaptive execution merges small partitions before they become files; where that is turned off, a
+    sixteenth as many files as shuffle partitions are written, as a file a partition is mostly overhead.
+    """
+    conf = df.sparkSession.conf
+    merges = all(conf.get(f"spark.sql.adaptive.{k}", "true") == "true" for k in ("enabled", "coalescePartitions.enabled"))
+    return written(df if merges else df.coalesce(max(8, int(conf.get("spark.sql.shuffle.partitions")) // 16)), "small")
+
+
 def local_path(uri: str) -> str:
     """Path for open() and mmap of a shared folder that is mounted as files."""
     u = urlparse(uri)
@@ -38,10 +49,15 @@ def make_dir(uri: str) -> str:
 
 
 def check_input(df: DataFrame, *names: str) -> None:
-    """The columns exist; Arrow batches of the session are bounded by bytes, as texts may be very long."""
+    """The columns exist, and Arrow batches of the session hold BATCH_ROWS rows and BATCH_BYTES at most, as texts may be very long.
+
+    The bounds are the session's, as a lazy plan reads them when it runs; smaller ones stay.
+    """
     if missing := [n for n in names if n not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    conf, prefix = df.sparkSession.conf, "spark.sql.execution.arrow"
+    to_bytes = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if not 0 < int(conf.get(f"{prefix}.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set(f"{prefix}.maxRecordsPerBatch", str(BATCH_ROWS))
+    if not 0 < to_bytes(conf.get(f"{prefix}.maxBytesPerBatch")) <= to_bytes(BATCH_BYTES):
+        conf.set(f"{prefix}.maxBytesPerBatch", BATCH_BYTES)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import kept, written
 
 #: Edges that one task settles: 16 bytes each, so 8 MB. More are contracted first, in rounds.
 ONE_TASK = 1 << 19
@@ -60,10 +60,7 @@ def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFram
     two plain exchanges, which adaptive execution splits.
     """
     spark = edges.sparkSession
-    left = written(
-        edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("src != dst").distinct(),
-        "edges",
-    )
+    left = kept(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("src != dst").distinct())
     maps: list[DataFrame] = []
     while (n := left.count()) > one_task:
         rank = F.xxhash64(F.lit(len(maps)), F.col("y"))
@@ -80,7 +77,7 @@ def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFram
         moved = left.join(to_a, "a").join(to_b, "b").where("pa != pb")
         left = written(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
     if n:
-        maps.append(written(left.coalesce(1).mapInArrow(_settle, "x long, p long"), "settled"))
+        maps.append(kept(left.coalesce(1).mapInArrow(_settle, "x long, p long")))
     if not maps:
         return spark.createDataFrame([], "node long, root long")
     labels = maps[0].select(F.col("x").alias("node"), F.col("p").alias("root"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, check_input, written
+from .common import WORD, check_input, kept, written
 
 LEVELS, STEP = 3, 10
 
@@ -48,11 +48,11 @@ def thresholds(rows: DataFrame, weights: tuple[float, ...], cap: float) -> DataF
     """(g, source_size, target, whole, below) for each source of rows(source, size, h): whole copies, and one more if h < below."""
     if not weights or min(weights) <= 0 or cap < 1:
         raise ValueError("weights must be positive and cap at least 1")
-    sizes = written(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    sizes = kept(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goal = targets(sizes, list(weights), cap).withColumnRenamed("source", "g").withColumn("whole", whole)
     goal = goal.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("below", F.lit(0).cast("long"))
-    goal = written(goal, "goal0")
+    goal = kept(goal)
     same = F.col("source").eqNullSafe(F.col("g"))
     for level in range(1, LEVELS + 1):
         at = rows.select("source", "size", F.shiftright("h", (LEVELS - level) * STEP).alias("bucket"))
@@ -70,7 +70,7 @@ def thresholds(rows: DataFrame, weights: tuple[float, ...], cap: float) -> DataF
         inside = F.coalesce(F.col("bucket"), F.when(F.col("left") > 0, first + (1 << STEP)).otherwise(first))
         nearer = F.when(F.col("to") - F.col("left") < F.col("left") - F.col("from"), 1).otherwise(0) if level == LEVELS else F.lit(0)
         goal = goal.withColumn("below", (inside + nearer).cast("long")).withColumn("left", F.col("left") - F.coalesce(F.col("from"), F.lit(0)))
-        goal = written(goal.drop("bucket", "from", "to"), f"goal{level}")
+        goal = kept(goal.drop("bucket", "from", "to"))
     return goal.select("g", "source_size", "target", "whole", "below")
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import check_input, written
+from .common import check_input, kept, written
 from .tokens import release
 
 GAMMA, ZERO = 1.005, 1e-4
@@ -163,8 +163,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def _verdicts(stats: DataFrame, spreads: float, min_docs: int) -> DataFrame:
-    sketch = written(sketches(stats, "lang", "source"), "sketches")
-    fence = written(fences(sketch, spreads, min_docs).withColumnsRenamed({"lang": "f_lang", "source": "f_source"}), "fences")
+    sketch = kept(sketches(stats, "lang", "source"))
+    fence = kept(fences(sketch, spreads, min_docs).withColumnsRenamed({"lang": "f_lang", "source": "f_source"}))
     out = stats.join(fence, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     inside = _ratio(TWO_SIDED) >= F.coalesce(f"{TWO_SIDED}_low", F.lit(0.0))
     for m in METRICS:

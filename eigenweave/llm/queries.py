@@ -33,10 +33,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. A null, empty or text-less page gives an empty text; rows may repeat."""
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens. A null or empty text is its end id; rows may repeat."""
     pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -53,36 +55,43 @@ def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document. Null texts have size 0, a null source is the last; equal rows are taken alike."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document. Null and empty texts have no words and fail; null languages and sources are groups; rows may repeat."""
     return quality.judge(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as read back from token files. A null or empty text is its end id; null ids come first, equal ids in an order fixed by their texts."""
     out = scratch(spark, "token-files")
     token_files.write_token_files(_table(spark, sf_dir, "documents"), out, tokenizer_path(), end_id=2)
     return token_files.read_token_files(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages as read back from packages. A null html is an empty payload; of equal payloads rows with the smallest id are responses, and rows without an id revisit them."""
     out = scratch(spark, "warc")
     archives = warc.write_archives(_table(spark, sf_dir, "pages"), out)
     return warc.read_archives(spark, out, archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Null and wordless texts have fingerprint 0; rows without an id name no component; rows may repeat."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", _hex("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, disclosing terms wherever they stand. Null and empty texts have none; equal rows get equal spans."""
     found = pii.find_personal(_table(spark, sf_dir, "documents"), everywhere=True)
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of every vector. Null, zero and non-finite vectors and null labels link with nothing; rows may repeat an id or have none."""
     return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 

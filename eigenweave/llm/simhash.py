@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import check_input, written
+from .common import check_input, kept, written
 from .components import connected_components
 from .tokens import release
 
@@ -155,16 +155,16 @@ def link_components(prints: DataFrame, distance: int = 4) -> DataFrame:
     return named.join(third, "top", "left").select("fp", F.coalesce("last", "top").alias("root"))
 
 
-def labelled(docs: DataFrame, id_col: str, text_col: str, words: int, distance: int, seed: int) -> DataFrame:
-    """(id, fp, root, component) for each row of docs, where root names the component by a fingerprint."""
+def labelled(docs: DataFrame, id_col: str, text_col: str, words: int, distance: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(id, fp, root, component) for each row of docs, and (fp, root, component) for each fingerprint; root names the component by one."""
     check_input(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints = written(fingerprints(rows, "text", words, seed), "prints")
-    reps = written(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "reps")
+    reps = prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     named = written(reps.join(link_components(reps, distance), "fp").select("fp", "rep", "root"), "named")
-    least = named.groupBy("root").agg(F.min("rep").alias("component"))
+    least = kept(named.groupBy("root").agg(F.min("rep").alias("component")))  # by itself, so that the join is of two plain exchanges
     classes = named.join(least, "root").select("fp", "root", "component")
-    return prints.join(classes, "fp").select("id", "fp", "root", "component")
+    return prints.join(classes, "fp").select("id", "fp", "root", "component"), classes
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as often as they came in. Other columns of docs are left aside, whatever their names. An empty
     table gives an empty table.
     """
-    return labelled(docs, id_col, text_col, words, distance, seed).select(F.col("id").alias(id_col), "fp", "component")
+    return labelled(docs, id_col, text_col, words, distance, seed)[0].select(F.col("id").alias(id_col), "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
@@ -186,23 +186,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     often as it names components. Rows without an id stay only if no row of their component
     has one, and then one of them stays.
     """
-    found = written(labelled(docs, id_col, text_col, words, distance, seed), "found")
+    found, classes = labelled(docs, id_col, text_col, words, distance, seed)
     winners = found.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("id") == F.col("component")).alias("won")).where("won")
     winners = written(winners.select(F.col("id").alias(id_col), "rows"), "winners")
     # merged at any size: winners are most of the documents, so only a small input could broadcast them
     single = docs.join(winners.where("rows = 1").select(id_col).hint("merge"), id_col, "left_semi")
-    kept = single.select(docs.columns)
+    out = single.select(docs.columns)
     repeated = winners.where("rows > 1").select(id_col)
     if not repeated.isEmpty():
         own = found.where(F.col("id") == F.col("component")).join(repeated.withColumnRenamed(id_col, "id"), "id", "left_semi")
-        chosen = written(own.groupBy("root").agg(F.min(F.struct("id", "fp")).alias("w")).select("w.id", "w.fp"), "chosen")
+        chosen = kept(own.groupBy("root").agg(F.min(F.struct("id", "fp")).alias("w")).select("w.id", "w.fp"))
         rows = docs.join(repeated, id_col, "left_semi").select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         picked = fingerprints(rows, "text", words, seed).join(chosen, ["id", "fp"], "left_semi").dropDuplicates(["id", "fp"])
-        kept = kept.unionByName(picked.select("row.*"))
-    nameless = found.where("component is null").groupBy("root").agg(F.min("fp").alias("fp"))
+        out = out.unionByName(picked.select("row.*"))
+    nameless = classes.where("component is null").groupBy("root").agg(F.min("fp").alias("fp"))
     if not nameless.isEmpty():
-        chosen = written(nameless.select("fp"), "chosen")
+        chosen = kept(nameless.select("fp"))
         rows = docs.where(F.col(id_col).isNull()).select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
         picked = fingerprints(rows, "text", words, seed).join(chosen, "fp", "left_semi").dropDuplicates(["fp"])
-        kept = kept.unionByName(picked.select("row.*"))
-    return kept
+        out = out.unionByName(picked.select("row.*"))
+    return out

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from eigenweave.llm import simhash
-from eigenweave.llm.components import connected_components
+from eigenweave.llm.components import connected_components, forest
 from eigenweave.llm.queries import op8_simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -89,6 +89,42 @@ def test_segments_leave_one_bit_to_the_nearest():
         assert sum(w for _, w in cuts) == 64 and distance // len(cuts) <= 1
 
 
+def test_forest_and_rounds_agree_with_brute_force(spark):
+    r = random.Random(7)
+    for n, m in ((50, 30), (400, 500), (3000, 2600)):
+        edges = [(r.randrange(n) * 7 - 50, r.randrange(n) * 7 - 50) for _ in range(m)]
+        want = roots({x for e in edges for x in e}, edges)
+        nodes = sorted(want)
+        at = {x: k for k, x in enumerate(nodes)}
+        i, j = (np.array([at[e[s]] for e in edges]) for s in (0, 1))
+        assert [nodes[k] for k in forest(len(nodes), i, j)] == [want[x] for x in nodes]
+    chain = np.random.RandomState(0).permutation(20_000)
+    assert (forest(20_000, chain[:-1], chain[1:]) == 0).all()
+    df = spark.createDataFrame(edges[:600], "src long, dst long")
+    linked = {x for e in edges[:600] if e[0] != e[1] for x in e}
+    want = roots(linked, [e for e in edges[:600] if e[0] != e[1]])
+    for one_task in (0, 50, 10_000):
+        got = {x["node"]: x["root"] for x in connected_components(df, one_task).collect()}
+        assert set(got) == linked and len(set(got.values())) == len(set(want.values())) and all((got[a] == got[b]) for a, b in edges[:600] if a != b)
+
+
+def test_hot_bucket_is_dealt_to_many_tasks(spark, monkeypatch):
+    """1,500 fingerprints that share a segment, one bucket of three salts: members far apart keep their components, outsiders meet the main one."""
+    monkeypatch.setattr(simhash, "SALT", 500)
+    rng = np.random.RandomState(5)
+    ball = {int(0x155555) | int(x) << 21 for x in rng.randint(0, 1 << 43, 1500)}  # equal low segments, the rest random
+    centre = int(rng.randint(0, 1 << 62))
+    near = {centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.randint(0, 64, (1500, 2))} | {centre}
+    signed = [x - (1 << 64) if x >> 63 else x for x in ball | near]
+    got = {r["fp"]: r["root"] for r in simhash.link_components(spark.createDataFrame([(x, 1) for x in signed], "fp long, n long")).collect()}
+    f = np.array(sorted(signed), np.int64)
+    u = f.view(np.uint64)
+    links = [(int(f[k]), int(x)) for k in range(len(f)) for x in f[k + 1 :][np.bitwise_count(u[k] ^ u[k + 1 :]) <= 4]]
+    want = roots(f.tolist(), links)
+    groups = lambda m: sorted(sorted(x for x in m if m[x] == v) for v in set(m.values()))
+    assert groups(got) == groups(want)
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(0, 200)] + [(1000, k) for k in range(1001, 1200)] + [(5, 5), (None, 3)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
