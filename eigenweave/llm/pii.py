@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import check_input, written
+from .common import check_input, kept, written
 from .tokens import release
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -51,6 +51,8 @@ WINDOW, SUPPORT, THRESHOLD = 20, 3, 0.9
 #: Nats: a pair that chance makes with a probability over 1e-9 is no evidence.
 SURPRISE = 20.7
 BANDS, ROWS = 24, 8
+#: Terms whose hashes are broadcast: 8 bytes each, so 2 MB. More are met by a join after counting.
+FEW_TERMS = 250_000
 _FACTORS, _MASKS, _MIX = (np.random.RandomState(k).randint(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1) for k in range(3))
 
 
@@ -195,11 +197,11 @@ def independent(windows: DataFrame, support: int) -> DataFrame:
     entity's windows cannot melt into one however many there are.
     """
     enough = windows.select("e", "sig").distinct().groupBy("e").count().where(F.col("count") >= support).select("e")
-    some = written(windows.join(written(enough, "enough"), "e", "left_semi").dropDuplicates(["e", "sig"]), "windows")
+    some = kept(windows.join(kept(enough), "e", "left_semi").dropDuplicates(["e", "sig"]))
     keyed = some.select("e", "sig", F.posexplode("bands").alias("band", "key"))
     first = keyed.groupBy("e", "band", "key").agg(F.min("sig").alias("first"), F.max("sig").alias("last")).where("first != last")
-    copies = keyed.join(first, ["e", "band", "key"]).where("sig != first").select("e", "sig").distinct()
-    return written(some.join(written(copies, "copies"), ["e", "sig"], "left_anti").select("e", "sig"), "independent")
+    copies = keyed.join(kept(first), ["e", "band", "key"]).where("sig != first").select("e", "sig").distinct()
+    return kept(some.join(kept(copies), ["e", "sig"], "left_anti").select("e", "sig"))
 
 
 def _words(text_col: str) -> Column:
@@ -211,32 +213,42 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str, support: int, t
     """(e, t, share): terms whose PMI with an entity reaches the threshold's share of its information, chance ruled out.
 
     Counts are summed within each task before they are shuffled, so what moves is vocabularies, not
-    words.
+    words. Evidence is asked last, of the few pairs that pass all else: windows of t in a document of
+    e that are no near copies.
     """
-    windows = found.select("h", F.explode("windows").alias("w"), "terms").select("h", "w.*", "terms")
-    lead = independent(windows, support)
-    known = written(lead.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("e"), "supported")
+    windows = found.select(F.explode("windows").alias("w"), "terms").select("w.*", "terms")
+    lead = independent(windows.drop("terms"), support)
+    known = lead.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("e")
     sizes = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    known = written(sizes.join(known, "e"), "entities")
-    held = windows.drop("bands").join(known.select("e"), "e")
-    evidence = held.join(lead, ["e", "sig"], "left_semi").groupBy("e", "sig").agg(F.min_by("terms", "h").alias("terms"))
-    each = held.select("e", F.explode("terms").alias("t"), F.lit(1).alias("n"), F.lit(0).alias("lead"))
-    each = each.unionByName(evidence.select("e", F.explode("terms").alias("t"), F.lit(0).alias("n"), F.lit(1).alias("lead")))
-    pairs = each.groupBy("e", "t").agg(F.sum("n").alias("n_et"), F.sum("lead").alias("n_lead")).where(F.col("n_lead") >= support)
+    known = kept(sizes.join(known, "e"))
     total = found.count()
-    least = F.log(F.lit(float(max(total, 1))) / F.col("n_e"))  # IC(e); a term that stands with e alone surprises by n_et times that
-    pairs = pairs.join(known, "e").where(F.col("n_et") * least >= SURPRISE)
-    pairs = written(pairs.select("e", "t", "n_et", "n_e"), "pairs")
-    if pairs.isEmpty():
+    held = windows.drop("bands").join(known.select("e"), "e")
+    pairs = held.select("e", F.explode("terms").alias("t")).groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et"))
+    # what t reaches if it stands nowhere but in documents with spans, which no count over all documents exceeds
+    p = F.col("n_e") / F.lit(float(max(total, 1)))
+    some = found.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_any"))
+    pairs = pairs.where(F.col("n_et") >= support).join(known, "e").where(F.col("n_e") < total).where(F.col("n_et") * -F.log(p) >= SURPRISE)
+    pairs = pairs.join(some, "t").where(F.log(F.col("n_et") / F.col("n_any") / p) >= (threshold - 1e-9) * -F.log(p))
+    pairs = kept(pairs.select("e", "t", "n_et", "n_e"))
+    terms_ = kept(pairs.select("t").distinct())
+    n_terms = terms_.count()
+    if not n_terms:
         return pairs.select("e", "t", F.lit(1.0).alias("share"))
     df = docs.select(_words(text_col)).where(F.length("t") > 1)
-    df = df.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    df = written(df.join(written(pairs.select("t").distinct(), "terms"), "t", "left_semi"), "df")
-    p, n = F.col("n_e") / F.lit(float(total)), F.greatest(F.col("df"), F.col("n_et")).cast("double")
+    count = F.count(F.lit(1)).alias("df")
+    if n_terms <= FEW_TERMS:  # by their hashes first, and by themselves after counting
+        few = F.broadcast(terms_.select(F.xxhash64("t").alias("x")))
+        df = df.join(few, F.xxhash64("t") == F.col("x"), "left_semi").groupBy("t").agg(count)
+    else:
+        df = df.groupBy("t").agg(count).join(terms_, "t", "left_semi")
+    n = F.greatest(F.col("df"), F.col("n_et")).cast("double")
     q = F.col("n_et") / n
     chance = n * (q * F.log(q / p) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0))
-    rated = pairs.join(df, "t").where("n_e < %d" % total).where(q > p).select("e", "t", (F.log(q / p) / -F.log(p)).alias("share"), chance.alias("chance"))
-    return written(rated.where((F.col("share") >= threshold) & (F.col("chance") >= SURPRISE)).drop("chance"), "disclosing")
+    rated = pairs.join(df, "t").where(q > p).select("e", "t", (F.log(q / p) / -F.log(p)).alias("share"), chance.alias("chance"))
+    rated = kept(rated.where((F.col("share") >= threshold) & (F.col("chance") >= SURPRISE)).drop("chance"))
+    shown = held.select("e", "sig", F.explode("terms").alias("t")).join(rated, ["e", "t"]).select("e", "t", "share", "sig").distinct()
+    shown = shown.join(lead, ["e", "sig"], "left_semi").groupBy("e", "t", "share").agg(F.count(F.lit(1)).alias("n"))
+    return kept(shown.where(F.col("n") >= support).drop("n"))
 
 
 def _term_spans(text: str, wanted: list[str], spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -250,10 +262,10 @@ def _revealing(rows: DataFrame, found: DataFrame, support: int, threshold: float
     if pairs.isEmpty():
         return rows.select(F.col("id").alias("k_id"), F.col("h").alias("k_h"), F.array().cast("array<string>").alias("terms")).where("false")
     if everywhere:
-        hit = rows.select("id", "h", _words("text")).join(written(pairs.select("t").distinct(), "revealed"), "t")
+        hit = rows.select("id", "h", _words("text")).join(pairs.select("t").distinct(), "t")
     else:
         hit = found.select("id", "h", F.explode("entities").alias("e")).distinct().join(pairs, "e")
-    return written(hit.groupBy(F.col("id").alias("k_id"), F.col("h").alias("k_h")).agg(F.sort_array(F.collect_set("t")).alias("terms")), "revealing")
+    return kept(hit.groupBy(F.col("id").alias("k_id"), F.col("h").alias("k_h")).agg(F.sort_array(F.collect_set("t")).alias("terms")))
 
 
 def _same() -> Column:
@@ -282,7 +294,7 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(more, pa.string())], ["k_id", "k_h", "more"])
 
     more = rows.mapInArrow(run, rows.select("k_id", "k_h").schema.add("more", "string")).distinct()
-    out = found.select("id", "h", "n_email", "n_ip", "n_card", "n_phone", "base").join(written(more, "more"), _same(), "left")
+    out = found.select("id", "h", "n_email", "n_ip", "n_card", "n_phone", "base").join(kept(more), _same(), "left")
     spans = F.concat_ws(",", *(F.when(F.col(c) != "", F.col(c)) for c in ("base", "more")))
     return out.select(F.col("id").alias(id_col), "n_email", "n_ip", "n_card", "n_phone", "base", spans.alias("spans"))
 

@@ -257,10 +257,7 @@ def brute_terms(rows, support=3, threshold=0.9, width=20):
         p = len(has[key]) / len(rows)
         for t in set.union(*(w for _, w in by_doc.values())):
             with_t = {k for k, (_, w) in by_doc.items() if t in w}
-            shown = {}
-            for k in sorted(by_doc, key=lambda k: xx(rows[k][1])):
-                shown.setdefault(by_doc[k][0][0], k)
-            if sum(sig in lead and k in with_t for sig, k in shown.items()) < support:
+            if len(lead & {by_doc[k][0][0] for k in with_t}) < support:
                 continue
             n = max(len(with_t), len(docs_of_term[t]))
             q = len(with_t) / n
@@ -269,11 +266,6 @@ def brute_terms(rows, support=3, threshold=0.9, width=20):
     return found
 
 
-def xx(text):
-    """Spark's xxhash64 of a text ranks documents that share a window."""
-    return np.uint64(pii.xxhash.xxh64_intdigest((text or "").encode(), 42)).view(np.int64)
-
-
 def wanted(rows):
     names = brute_terms(rows)
     out = {}
@@ -374,6 +366,30 @@ def test_embeddings_without_any_valid(spark):
     assert embed_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_tiles_equal_brute_force(same, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "INNER", 37)
+    rng = np.random.RandomState(6)
+    centres = rng.randn(9, 24) * np.linspace(2, 0.2, 24)
+    a = centres[rng.randint(0, 9, 250)] + rng.randn(250, 24) * rng.choice([0.02, 0.3], (250, 1))
+    b = a if same else centres[rng.randint(0, 9, 180)] + rng.randn(180, 24) * 0.1
+    wa, wb = rng.randint(1, 5, len(a)), rng.randint(1, 5, len(b))
+    wb = wa if same else wb
+    links, i, j = embed_dedup.tile_links(a, b, wa, wb, embed_dedup.basis(a), 0.93, same)
+    u, v = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
+    near = u @ v.T >= 0.93
+    if same:
+        np.fill_diagonal(near, False)
+        assert np.allclose(links, near @ wa)
+        full = near
+    else:
+        assert np.allclose(links, np.concatenate((near @ wb, near.T @ wa)))
+        full = np.block([[np.zeros((250, 250), bool), near], [near.T, np.zeros((180, 180), bool)]])
+    x, y = np.nonzero(full)
+    assert (embed_dedup.forest(len(full), x, y) == embed_dedup.forest(len(full), i, j)).all()
+    assert len(i) < near.sum()  # a forest, not the pairs
+
+
 def test_pairs_stop_only_where_they_may():
     rng = np.random.RandomState(0)
     a = rng.randn(300, 64) * np.linspace(3, 0.1, 64)
