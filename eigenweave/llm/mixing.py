@@ -24,24 +24,37 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
     return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.shiftrightunsigned(h, 64 - LEVELS * STEP).alias("h"), *more)
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """sizes with `rank` from 0: sources in code point order, null last. No task sees more than its range of sources."""
+    parts = sizes.withColumn("nameless", F.col("source").isNull()).repartitionByRange("nameless", "source").withColumn("part", F.spark_partition_id())
+    parts = kept(parts)  # evaluated once, as another evaluation may cut the ranges elsewhere
+    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("nameless", "source")) - 1
+    both = parts.withColumn("inside", inside).join(counts.select(F.col("part").alias("p"), before.alias("before")), F.col("part") == F.col("p"))
+    return both.withColumn("rank", F.col("before") + F.col("inside")).drop("nameless", "part", "p", "inside", "before")
+
+
 def targets(sizes: DataFrame, weights: list[float], cap: float) -> DataFrame:
     """(source, source_size, target) from (source, source_size).
 
     Sources in code point order, null last, have the weights in turn and share the total by them. A
-    target stops at cap times its source's size; what is over is shared again by weight. That ends
-    where target = min(cap * size, level * weight) with one level for all: over the sources by
-    ratio cap * size / weight, those below the level stop. Rows here are sources, not documents.
+    target stops at cap times its source's size; what is over is shared again by weight, until no
+    target is above. Then target = min(cap * size, level * weight) with one level for all; a round
+    of sharing is one aggregation of the sources that stop, and each makes more of them stop.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    turn = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    t = sizes.withColumn("w", turn).withColumn("top", F.lit(float(cap)) * F.col("source_size")).withColumn("ratio", F.col("top") / F.col("w"))
-    whole = Window.partitionBy()
-    before = Window.orderBy("ratio", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("total", F.sum("source_size").over(whole)).withColumn("all_w", F.sum("w").over(whole))
-    full, used = F.coalesce(F.sum("top").over(before), F.lit(0.0)), F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    t = t.withColumn("own", (F.col("total") - full) / (F.col("all_w") - used))  # the level if this is the first source not to stop
-    t = t.withColumn("level", F.min(F.when(F.col("own") <= F.col("ratio"), F.struct(F.col("ratio"), F.col("own")))).over(whole)["own"])
-    return t.select("source", "source_size", F.least("top", F.coalesce(F.col("level") * F.col("w"), F.col("top"))).alias("target"))
+    turn = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int"))
+    t = ranked(sizes).withColumn("w", turn).withColumn("top", F.lit(float(cap)) * F.col("source_size"))
+    t = kept(t.select("source", "source_size", "w", "top", (F.col("top") / F.col("w")).alias("ratio")))
+    total, all_w, stopped, level = *t.agg(F.sum("source_size"), F.sum("w")).first(), 0, None
+    while all_w:
+        level = total / all_w if level is None else (total - full) / (all_w - used)
+        low = F.col("ratio") < F.lit(level)
+        n, full, used = t.where(low).agg(F.count(F.lit(1)), F.coalesce(F.sum("top"), F.lit(0.0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+        if n == stopped or used >= all_w:
+            break
+        stopped = n
+    return t.select("source", "source_size", F.least("top", F.lit(float(level or 0)) * F.col("w")).alias("target"))
 
 
 def thresholds(rows: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
@@ -94,7 +107,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3,
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs, each as often as mix() takes it, with docs' own columns."""
+    """The rows of docs, each as often as mix() takes it, with docs' own columns, whose names don't clash as a row travels as one struct.
+
+    Nulls, ties and repeated rows as in mix(): equal rows are taken alike, a null source is a
+    source. Documents without words go or stay by their hash. An empty table gives an empty table.
+    """
     check_input(docs, id_col, text_col, source_col)
     goal = thresholds(written(sized(docs, id_col, text_col, source_col, seed), "sizes"), weights, cap)
     row = sized(docs, id_col, text_col, source_col, seed, F.struct(*docs.columns).alias("row"))

@@ -81,7 +81,10 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2
 
 
 def read_token_files(spark: SparkSession, out: str) -> DataFrame:
-    """(doc_id, start long, n_tokens long, ids binary of little-endian 32-bit) for each document of a folder."""
+    """(doc_id, start long, n_tokens long, ids binary of little-endian 32-bit) for each document of a folder.
+
+    doc_id is null where the written id was; ids may repeat. A folder without shards gives an empty table.
+    """
     folder = local_path(out)
     with open(f"{folder}/manifest.json") as f:
         shards = json.load(f)["shards"]

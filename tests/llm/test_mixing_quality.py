@@ -70,6 +70,16 @@ def test_mix_caps_nulls_and_copies(spark, docs_of):
         mixing.mix(docs, weights=())
 
 
+def test_targets_equal_sharing_again_and_again(spark):
+    r = np.random.RandomState(2)
+    for sizes in ({f"s{k:03d}é" if k % 3 else f"S{k}": int(10 ** r.uniform(0, 6)) for k in range(200)} | {None: 77}, {f"g{k}": 4**k for k in range(14)}, {"one": 5}, {"a": 0, "b": 0}, {"a": 0, "b": 9, None: 1}):
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)
+        got = {x["source"]: x["target"] for x in mixing.targets(df, [1, 2, 3], 3).collect()}
+        want = water(sizes)
+        assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], rel=1e-12) for s in want)
+    assert mixing.targets(df.where("false"), [1, 2, 3], 3).count() == 0
+
+
 def test_mix_is_native(spark, sf):
     plan = op4_source_mixing(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
