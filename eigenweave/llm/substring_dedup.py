@@ -120,11 +120,12 @@ def repeats(docs: DataFrame, unit: str = "line", min_words: int = 1, id_col: str
     again = written(found.join(written(common, "common"), ["d1", "d2"], "left_semi"), "again")
     first = written(again.groupBy("d1", "d2").agg(F.min(_rank()).alias("first")), "first")
     later = again.join(first, ["d1", "d2"]).where(_rank() != F.col("first"))
-    later = later.select("id", "h", "idx", "outer", "whole", "start", "end", "words", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start")).distinct()
+    later = later.select("id", "h", "idx", "outer", "whole", "start", "end", "words", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
+    later = later.repartition("id", "h").distinct()  # dealt once by document, which all that follows takes as it is
     go = F.col("whole") & (F.col("words") >= min_words)
     if passages is not None:
-        own = Window.partitionBy("id", "h", F.col("idx").isNull())
-        later = later.withColumn("run", F.col("idx") - F.row_number().over(own.orderBy("idx")))
+        own = Window.partitionBy("id", "h").orderBy(F.col("idx").isNull(), "idx")
+        later = later.withColumn("run", F.col("idx") - F.row_number().over(own))
         later = later.withColumn("together", F.sum("words").over(Window.partitionBy("id", "h", "run")))
         later = later.withColumn("inside", F.max(go & F.col("idx").isNull()).over(Window.partitionBy("id", "h", "outer")))
         go = F.when(F.col("idx").isNull(), go).otherwise(go | (F.col("together") >= passages) & ~F.col("inside"))
