@@ -24,12 +24,21 @@ PAIRS = 1 << 16
 
 
 def _blocked(df: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
+    """df with its block, and how many there are. Blocks are int, like sequence()'s: cogrouped keys of two types hash apart and never meet."""
     n = max(1, -(-df.count() // size))
-    return df.withColumn(name, F.pmod(F.xxhash64("row_id"), F.lit(n))), n
+    return df.withColumn(name, F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int")), n
+
+
+def _apart(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Distances row by row, squares summed in the order of the values, as SQL's list_distance does: what ties there ties here."""
+    far = np.zeros(len(y))
+    for a, b in zip(y.T, x.T):
+        far += (a - b) ** 2
+    return np.sqrt(far)
 
 
 def nearest(train: DataFrame, test: DataFrame, k: int, column: str = "features") -> DataFrame:
-    """(row_id, neighbour, label, distance, rank): the k nearest training rows of each test row; ties by neighbour id."""
+    """(row_id, neighbour, label, distance, rank): the k nearest training rows of each test row; ties by neighbour id, NaN last (as null)."""
     a, na = _blocked(train.select("row_id", "label", F.col(column).alias("x")), "a", TRAIN_BLOCK)
     b, nb = _blocked(test.select("row_id", F.col(column).alias("x")), "b", TEST_BLOCK)
     a = a.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
@@ -41,15 +50,20 @@ def nearest(train: DataFrame, test: DataFrame, k: int, column: str = "features")
             return pd.DataFrame({"row_id": [], "neighbour": [], "label": [], "distance": []})
         left = left.sort_values("row_id")
         x, y = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
-        far = np.maximum((y * y).sum(1)[:, None] - 2 * y @ x.T + (x * x).sum(1)[None, :], 0)
         most = min(k, len(x))
-        # products round: whatever could still be among the k nearest is measured exactly, ties all of them
-        slack = 1e-12 * x.shape[1] * ((y * y).sum(1) + (x * x).sum(1).max())
-        near = far <= (np.partition(far, most - 1, axis=1)[:, most - 1] + 2 * slack)[:, None]
+        with np.errstate(over="ignore", invalid="ignore"):
+            xx, yy = (x * x).sum(1), (y * y).sum(1)
+            far = np.maximum(yy[:, None] - 2 * y @ x.T + xx[None, :], 0)
+            # products round: whatever could still be among the k nearest is measured exactly, ties all of them
+            slack = 1e-12 * x.shape[1] * (yy + xx[np.isfinite(xx)].max(initial=0))
+            vague = ~np.isfinite(far)  # overflow, infinite values and NaN say nothing
+            far[vague] = np.inf
+            near = vague | (far <= (np.partition(far, most - 1, axis=1)[:, most - 1] + 2 * slack)[:, None])
         parts = []
         for s in range(0, len(y), 64):
             i, j = np.nonzero(near[s : s + 64])
-            exact = np.concatenate([np.sqrt(((y[s + i[q : q + PAIRS]] - x[j[q : q + PAIRS]]) ** 2).sum(1)) for q in range(0, len(i), PAIRS)])
+            with np.errstate(over="ignore", invalid="ignore"):
+                exact = np.concatenate([_apart(y[s + i[q : q + PAIRS]], x[j[q : q + PAIRS]]) for q in range(0, len(i), PAIRS)])
             order = np.lexsort((j, exact, i))
             i, j, exact = i[order], j[order], exact[order]
             keep = np.arange(len(i)) - np.searchsorted(i, i) < most
@@ -58,7 +72,7 @@ def nearest(train: DataFrame, test: DataFrame, k: int, column: str = "features")
         return pd.DataFrame({"row_id": right["row_id"].to_numpy()[i], "neighbour": left["row_id"].to_numpy()[j], "label": left["label"].to_numpy()[j], "distance": exact})
 
     found = a.groupBy(*cell).cogroup(b.groupBy(*cell)).applyInPandas(scan, "row_id long, neighbour long, label int, distance double")
-    w = Window.partitionBy("row_id").orderBy("distance", "neighbour")
+    w = Window.partitionBy("row_id").orderBy(F.col("distance").asc_nulls_last(), "neighbour")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -14,13 +14,13 @@ from eigenweave.operators.combine import pooled_moments
 from eigenweave.operators.estimators import estimator
 from eigenweave.operators.iterate import subspace_iteration
 from eigenweave.plans import demos, experiment
-from eigenweave.plans.queries import client_table, run_client_stream
+from eigenweave.plans.queries import ORACLES, QUERIES, client_table, run_client_stream
 from eigenweave.sources import images
 from eigenweave.sources.partition import DataPartitioner
 from eigenweave.sources.scratch import scratch
 from eigenweave.sources.sinks import put_bytes
 from eigenweave.streaming import events, incremental
-from helpers import duck, frame, norm
+from helpers import agrees, duck, frame, norm
 
 SF = "/root/testdata/sf0.001"
 
@@ -160,6 +160,31 @@ def test_neighbours_with_many_ties(spark, monkeypatch):
     assert [r["neighbour"] for r in got] == list(range(7))
 
 
+def test_neighbours_of_all_blocks_meet_in_many_partitions(spark, monkeypatch):
+    """Small shuffles are merged into one partition by default, where blocks meet however they are dealt."""
+    for name, n in (("TRAIN_BLOCK", 90), ("TEST_BLOCK", 30)):
+        monkeypatch.setattr(downstream, name, n)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for name in ("h15_knn", "h15_knn_metrics"):
+            assert agrees(QUERIES[name](spark, SF), ORACLES[name], SF)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_neighbours_tie_as_in_sql_and_nan_comes_last(spark, rng, tmp_path):
+    v = rng.randn(64).astype(np.float32)
+    x = np.array([rng.permutation(v) for _ in range(200)])  # as far from zero, but for the order of the sum
+    x[::5] = 0
+    x[7::20, 3], x[9::20, 5], x[15::20, 2] = np.nan, np.inf, np.nan
+    few = rng.randn(12, 64).astype(np.float32)
+    few[[1, 2, 3, 4, 6, 7], 0] = np.nan  # fewer than five neighbours are at a distance
+    for name, rows in (("many", x), ("few", few)):
+        table = [(k, [float(c) for c in r], int(k * 7 % 10)) for k, r in enumerate(rows)]
+        spark.createDataFrame(table, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        assert agrees(QUERIES["h15_knn"](spark, f"{tmp_path}/{name}"), ORACLES["h15_knn"], f"{tmp_path}/{name}")
+
+
 def test_exact_splits_are_equal(spark, rng):
     rows = [(0, k, [1.0], int(rng.randint(0, 3)) if k % 50 else None) for k in range(1003)]
     s = spark.createDataFrame(rows, "party int, row_id long, features array<double>, label int")
